@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that a Python worker holds at a time, beyond the Arrow batch itself (one longer text is held alone).
-PIECE_CHARS = 8_000_000
+#: Bytes of text that a Python worker works on at a time, beyond the Arrow batch itself (one longer text is held alone).
+PIECE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,18 +27,35 @@ def strings(column: pa.Array, null: str | None = "") -> list:
     return out if null is None else [null if x is None else x for x in out]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with their texts (null: None), each of at most `most` characters or a single row."""
+def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an Arrow string column; nulls are empty."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def byte_pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the bytes and offsets of their texts, each of at most `most` bytes or a single row."""
     for batch in batches:
-        texts, start, held = strings(batch.column(text), None), 0, 0
-        for i, x in enumerate(texts):
-            n = len(x) if x else 0
-            if i > start and held + n > most:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if not batch.num_rows:
+            continue
+        data, offsets = text_buffers(batch.column(text))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+            yield batch.slice(start, stop - start), data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
+            start = stop
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with their texts (null: None), each of at most `most` bytes or a single row."""
+    for batch, _, _ in byte_pieces(batches, text, most):
+        yield batch, strings(batch.column(text), None)
 
 
 def list_array(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
     "op5_token_counts": token_counts.query,
+    "op6_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
