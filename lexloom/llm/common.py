@@ -69,3 +69,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the folder that the cluster shares, so that a lost executor costs no more than a read. Sets a folder only where none is."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-checkpoints-"))
+    return df.checkpoint()

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, token_counts
+from . import byte_bpe, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
     "op5_token_counts": token_counts.query,
     "op6_quality_rules": quality_rules.query,
+    "op9_simhash": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
