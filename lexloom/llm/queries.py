@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, quality_rules, simhash, token_counts
+from . import byte_bpe, language_id, neighbours, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
     "op3_language_id": language_id.query,
+    "op4_neighbours": neighbours.query,
     "op5_token_counts": token_counts.query,
     "op6_quality_rules": quality_rules.query,
     "op9_simhash": simhash.query,
