@@ -26,6 +26,8 @@ from .common import table
 
 NEAREST, EVERY = 20, 20
 PROJECTIONS, COLLISIONS, SHARE, FIRST, GROWTH = 64, 0.8, 0.15, 1.2, 1.1
+#: Vectors of a block that are verified at least.
+LEAST_VERIFIED = 300
 BLOCK, QUERY_BLOCK = 8_192, 4_096
 
 

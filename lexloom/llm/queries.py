@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, neighbours, quality_rules, simhash, token_counts
+from . import byte_bpe, language_id, neighbours, packing, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neighbours": neighbours.query,
     "op5_token_counts": token_counts.query,
     "op6_quality_rules": quality_rules.query,
+    "op8_packing": packing.query,
     "op9_simhash": simhash.query,
 }
 
