@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, neighbours, packing, quality_rules, simhash, token_counts
+from . import byte_bpe, chat, language_id, neighbours, packing, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
+    "op2_chat": chat.query,
     "op3_language_id": language_id.query,
     "op4_neighbours": neighbours.query,
     "op5_token_counts": token_counts.query,
@@ -18,4 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
+}
