@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker works on at a time, beyond the Arrow batch itself (one longer text is held alone).
 PIECE_BYTES = 4_000_000
+_BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,31 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + shift
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; the ranges are in order and don't overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    powers = np.full(int(lengths.max()) + 1, BASE)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    bounds = np.append(starts, len(data))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(bounds))
+    inside = place < np.repeat(lengths, np.diff(bounds))
+    codes = np.zeros(len(data) - int(starts[0]) + 1, np.uint64)
+    codes[:-1][inside] = _BYTE_CODES[data[int(starts[0]) :][inside]] * powers[place[inside]]
+    sums = np.add.reduceat(codes, starts - starts[0])
+    return mix(np.where(lengths > 0, sums, np.uint64(0)) ^ mix(lengths.astype(np.uint64)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows in the folder that the cluster shares, so that a lost executor costs no more than a read. Sets a folder only where none is."""
     context = df.sparkSession.sparkContext

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_pieces, list_array, table
+from .common import BASE, byte_pieces, hash_ranges, list_array, mix, table
 
 PIECE_BYTES = 3_000_000
 #: The training sample: documents, and lines of each.
-SAMPLE_DOCS, SAMPLE_LINES = 3_000, 64
+SAMPLE_DOCS, SAMPLE_LINES = 1_000, 48
 KEEP_SHARE = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -60,36 +60,9 @@ _CLASS[ord("A") : ord("Z") + 1] = 2
 _CLASS[ord("a") : ord("z") + 1] = 3
 _CLASS[ord("0") : ord("9") + 1] = 4
 _CLASS[ord("!")] = 5
-_BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW_CODES = np.random.default_rng(8).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _hashes(data: np.ndarray, keep: np.ndarray | None, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; the ranges are in order and don't overlap. keep: bytes that count."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    powers = np.full(int(lengths.max()) + 1, _BASE)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    bounds = np.append(starts, len(data))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(bounds))
-    inside = place < np.repeat(lengths, np.diff(bounds))
-    codes = np.zeros(len(data) - int(starts[0]) + 1, np.uint64)
-    codes[:-1][inside] = _BYTE_CODES[data[int(starts[0]) :][inside]] * powers[place[inside]]
-    sums = np.add.reduceat(codes, starts - starts[0])
-    return _mix(np.where(lengths > 0, sums, np.uint64(0)) ^ _mix(lengths.astype(np.uint64)))
-
-
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys occur more than once, and which of those occur earlier in the array too."""
     order = np.argsort(keys, kind="stable")
@@ -124,7 +97,7 @@ class Stats:
         self.n_symbols = symbols[offsets[1:]] - symbols[offsets[:-1]]
         self.n_words = np.bincount(doc, minlength=n)
         # words in windows that the text holds twice or more
-        words = _hashes(data, None, starts, ends)
+        words = hash_ranges(data, starts, ends)
         m = max(0, len(words) - WINDOW + 1)
         covered = np.zeros(len(words), bool)
         if m:
@@ -132,7 +105,7 @@ class Stats:
             for k in range(WINDOW):
                 windows += words[k : k + m] * _WINDOW_CODES[k]
             own = np.flatnonzero(doc[:m] == doc[WINDOW - 1 : WINDOW - 1 + m])
-            twice, _ = _repeated(_mix(windows[own]) ^ _mix(doc[own].astype(np.uint64) + _BASE))
+            twice, _ = _repeated(mix(windows[own]) ^ mix(doc[own].astype(np.uint64) + BASE))
             for k in range(WINDOW):
                 covered[own[twice] + k] = True
         self.n_repeat_words = np.bincount(doc[covered], minlength=n)
@@ -148,8 +121,8 @@ class Stats:
         self.full = np.flatnonzero(line_words > 0)
         full_starts, full_ends = line_starts[self.full], line_ends[self.full]
         self.doc = line_doc[self.full]
-        lines = _hashes(data, None, full_starts, full_ends)
-        _, again = _repeated(lines ^ _mix(self.doc.astype(np.uint64) + _BASE))
+        lines = hash_ranges(data, full_starts, full_ends)
+        _, again = _repeated(lines ^ mix(self.doc.astype(np.uint64) + BASE))
         self.n_dup_lines = np.bincount(self.doc[again], minlength=n)
         self.words = line_words[self.full]
 
@@ -208,7 +181,7 @@ class Crf:
     def decode(self, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return viterbi(features @ self.weights, lengths, self.stay)
 
-    def fit(self, features: np.ndarray, lengths: np.ndarray, good: np.ndarray, rounds: int = 2, steps: int = 200, rate: float = 0.1, prior: float = 0.0001) -> Crf:
+    def fit(self, features: np.ndarray, lengths: np.ndarray, good: np.ndarray, rounds: int = 2, steps: int = 120, rate: float = 0.1, prior: float = 0.0001) -> Crf:
         """lengths: lines of each document; good: whether it is one."""
         model, total = self, max(1, int(lengths.sum()))
         states = np.repeat(~good, lengths).astype(np.int8)
