@@ -98,11 +98,20 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.where(lengths > 0, sums, np.uint64(0)) ^ mix(lengths.astype(np.uint64)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows in the folder that the cluster shares, so that a lost executor costs no more than a read. Sets a folder only where none is."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Only where it names none, as in tests, a temporary one is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="lexloom-checkpoints-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-checkpoints-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the folder that the cluster shares, so that a lost executor costs no more than a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

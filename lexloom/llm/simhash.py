@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, byte_pieces, table
+from .common import byte_pieces, checkpointed, table
 from .components import components
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
