@@ -6,7 +6,7 @@ order to every position of their pair at once, and only the two neighbours of a
 A word is encoded once however often it occurs; ids go back to the texts by their word numbers.
 
 There is no shuffle: every task replays the merges for its own part of the corpus, so a lost task is simply run
-again, and memory is bounded by PIECE_CHARS and MOST_WORDS whatever the size of the corpus.
+again, and memory is bounded by PIECE_BYTES and MOST_WORDS whatever the size of the corpus.
 
 Defined results: a null text is encoded as the empty text (no ids); repeated rows are encoded each; columns other
 than the id and the text are ignored; an empty table gives an empty table.
@@ -17,6 +17,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import list_array, pieces, ranges, table
 from .words import splitter
 
-#: Words that a worker keeps encoded; beyond it, the store starts anew.
-MOST_WORDS = 400_000
+#: Words that a worker keeps encoded; beyond it, the store starts anew with the next piece.
+MOST_WORDS = 250_000
+PIECE_BYTES = 6_000_000
+PIECE_IDS = 400_000
 NEVER = np.int32(2**31 - 1)
 
 
@@ -172,20 +176,20 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, words: set[str]) -> None:
-        if len(self.number) + len(words) > MOST_WORDS and self.number:
-            raise OverflowError
-        new = [w for w in words if w not in self.number]
-        if not new:
-            return
-        ids, counts = self.replay.encode_words([w.encode("utf-8", "replace") for w in new])
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
-        self.counts = np.concatenate((self.counts, counts))
-        self.ids = np.concatenate((self.ids, ids))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Their numbers; a new word gets the next one."""
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+    def encode_new(self) -> None:
+        new = list(itertools.islice(self.number, len(self.counts), None))
+        if new:
+            ids, counts = self.replay.encode_words([w.encode("utf-8", "replace") for w in new])
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
+            self.counts = np.concatenate((self.counts, counts.astype(np.int32)))
+            self.ids = np.concatenate((self.ids, ids))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,20 +197,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, store = splitter(pattern), _Words(replay_of(ranks_path))
-        for batch, texts in pieces(batches, "text"):
-            words = [split(x) if x else [] for x in texts]
-            distinct: set[str] = set()
-            for x in words:
-                distinct.update(x)
-            try:
-                store.add(distinct)
-            except OverflowError:
+        for batch, texts in pieces(batches, "text", PIECE_BYTES):
+            if len(store.number) > MOST_WORDS:
                 store.clear()
-                store.add(distinct)
-            number = store.number.__getitem__
-            sizes = np.array([len(x) for x in words], np.int64)
-            flat = np.fromiter((number(w) for x in words for w in x), np.int64, int(sizes.sum()))
-            counts = store.counts[flat]
+            numbers = [store.numbers(split(x) if x else []) for x in texts]
+            store.encode_new()
+            sizes = np.array([len(x) for x in numbers], np.int64)
+            flat = np.concatenate(numbers)
+            counts = store.counts[flat].astype(np.int64)
             ids = store.ids[ranges(store.starts[flat], counts)]
             upto = np.concatenate(([0], np.cumsum(counts)))
             offsets = upto[np.concatenate(([0], np.cumsum(sizes)))]
@@ -222,15 +220,17 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = replay_of(ranks_path)
-        for batch in batches:
-            ids = batch.column(ids_col)
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.array([0 if x is None else x for x in ids.value_lengths().to_pylist()], np.int64)
-            raw, lengths = replay.decode(flat)
-            upto = np.concatenate(([0], np.cumsum(lengths)))
-            offsets = upto[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
-            out = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != out_col), out], [*(c for c in names if c != out_col), out_col])
+        for whole in batches:
+            sizes = np.array([0 if x is None else x for x in whole.column(ids_col).value_lengths().to_pylist()], np.int64)
+            upto, start = np.concatenate(([0], np.cumsum(sizes))), 0
+            while start < len(sizes):  # by at most PIECE_IDS or a single row
+                stop = max(start + 1, int(np.searchsorted(upto, upto[start] + PIECE_IDS, side="right")) - 1)
+                batch = whole.slice(start, stop - start)
+                raw, lengths = replay.decode(batch.column(ids_col).flatten().to_numpy(zero_copy_only=False))
+                ends = np.concatenate(([0], np.cumsum(lengths)))[upto[start : stop + 1] - upto[start]]
+                out = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != out_col), out], [*(c for c in names if c != out_col), out_col])
+                start = stop
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in encoded.dtypes if c != out_col), f"`{out_col}` binary"])
     return encoded.mapInArrow(task, schema)
