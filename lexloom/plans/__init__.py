@@ -1,6 +1,6 @@
 """The queries over the driver's tables."""
 
-from . import words
+from . import grading, lexicon, words
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "words"]
+__all__ = ["ORACLE_SQL", "QUERIES", "grading", "lexicon", "words"]
