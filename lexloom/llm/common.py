@@ -8,6 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "shared_folder"]
+
 #: Bytes of text that a Python worker works on at a time, beyond the Arrow batch itself (one longer text is held alone).
 PIECE_BYTES = 4_000_000
 _BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -96,22 +100,3 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     codes[:-1][inside] = _BYTE_CODES[data[int(starts[0]) :][inside]] * powers[place[inside]]
     sums = np.add.reduceat(codes, starts - starts[0])
     return mix(np.where(lengths > 0, sums, np.uint64(0)) ^ mix(lengths.astype(np.uint64)))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names. Only where it names none, as in tests, a temporary one is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="lexloom-checkpoints-")
-        context.setCheckpointDir(named)
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows in the folder that the cluster shares, so that a lost executor costs no more than a read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()

@@ -14,6 +14,12 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, or none and only edges from larger ones: then nothing changes any more."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("e"))
+    return ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.max("e.root").alias("root")).where("up > 1 OR (up = 1 AND root = 1)").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the least node of the component, for each node of the links. Each node has an edge to its root when no step changes anything.
 
@@ -21,14 +27,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     adaptive skew join; every round is checkpointed. The number of rounds grows with the logarithm of the longest path.
     """
     edges = checkpointed(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = _least(large)  # every edge leads to a smaller node already
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = near.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = checkpointed(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -30,7 +30,7 @@ from .common import pieces, table
 
 MOST_GRAM, BUCKETS, LANDMARKS = 3, 1 << 16, 256
 #: The bound of the training sample: documents in all, and of one language.
-SAMPLE_DOCS, SAMPLE_OF_EACH = 3_000, 600
+SAMPLE_DOCS, SAMPLE_OF_EACH = 1_500, 300
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Below this score, a pipeline rejects a text as of no known language.
