@@ -122,10 +122,10 @@ def best_match(text: str, threshold: float = THRESHOLD) -> tuple[float, str] | N
         return None
     pairs = bigrams(words)
     n = len(pairs)
-    if not n or n > max(size for _, size in known) * (2 - threshold) / threshold:
+    if not n or threshold * n > max(size for _, size in known) * (2 - threshold) + 1e-9:
         return None
     shared = Counter(i for pair in pairs for i in index.get(pair, ()))
-    fits = [(-2 * k / (n + known[i][1]), known[i][0]) for i, k in shared.items() if threshold / (2 - threshold) <= n / known[i][1] <= (2 - threshold) / threshold]
+    fits = [(-2 * k / (n + known[i][1]), known[i][0]) for i, k in shared.items() if threshold * known[i][1] <= (2 - threshold) * n + 1e-9 and threshold * n <= (2 - threshold) * known[i][1] + 1e-9]
     if not fits or -min(fits)[0] < threshold:
         return None
     dice, key = min(fits)
