@@ -30,6 +30,8 @@ from .components import components
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: Bucket sizes up to which members are compared by shifts, breadth first, and by sorting in one task.
 FEW, SOME, MOST_MEMBERS = 8, 1_024, 1_000_000
+#: A fingerprint of at most so many rows isn't hot.
+HOT_ROWS = 1_000
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -194,14 +196,19 @@ def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS) -> Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, some: int = SOME, most: int = MOST_MEMBERS) -> DataFrame:
     """(id_col, fp, component_id): a row for each row of docs; component_id is the smallest id reachable by links."""
     own = checkpointed(simhash(docs, id_col, text_col, words))
-    classes = own.groupBy("fp").agg(F.min(id_col).alias("first"))
+    classes = own.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
     linked = components(near_links(classes, some, most), "a", "b")
-    member = linked.join(classes.withColumnRenamed("fp", "node"), "node").select("node", "root", "first")
-    member = member.unionAll(linked.select(F.col("root").alias("node")).distinct().join(classes.withColumnRenamed("fp", "node"), "node").select("node", F.col("node").alias("root"), "first"))
+    nodes = linked.unionAll(linked.select("root", "root").distinct())
+    member = nodes.join(classes.select(F.col("fp").alias("node"), "first"), "node")
     lowest = member.groupBy("root").agg(F.min("first").alias("lowest"))
     reached = member.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
-    names = classes.join(reached, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return own.join(names, "fp").select(id_col, "fp", "component_id")
+    names = classes.join(reached, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
+    # fingerprints of over a thousandth of all rows are at most a thousand; they are sent to every task, so that no
+    # task gets all rows of one of them
+    hot = max(HOT_ROWS, own.count() // 1_000)
+    marked = own.join(F.broadcast(names.where(F.col("n") > hot).select("fp", F.lit(True).alias("hot"), F.col("component_id").alias("of_hot"))), "fp", "left")
+    rest = marked.where("hot IS NULL").join(names.where(F.col("n") <= hot), "fp").select(id_col, "fp", "component_id")
+    return rest.unionAll(marked.where("hot").select(id_col, "fp", "of_hot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
