@@ -35,7 +35,7 @@ RIDGE = 1e-3
 UNKNOWN = "und"
 #: Below this score, a pipeline rejects a text as of no known language.
 MIN_SCORE = 0.15
-PIECE_BYTES, PIECE_ROWS = 2_000_000, 256
+PIECE_BYTES, PIECE_ROWS = 2_000_000, 128
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, (MOST_GRAM, MOST_GRAM), dtype=np.uint64) | np.uint64(1)
 
 
