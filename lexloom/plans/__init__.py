@@ -1,6 +1,6 @@
 """The queries over the driver's tables."""
 
-from . import grading, lexicon, scoring, sequences, words
+from . import files, grading, lexicon, scoring, sequences, words
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "grading", "lexicon", "scoring", "sequences", "words"]
+__all__ = ["ORACLE_SQL", "QUERIES", "files", "grading", "lexicon", "scoring", "sequences", "words"]
