@@ -122,7 +122,7 @@ def merge_fold(rows: DataFrame, keys: list[str], left: str, right: str, score: s
 
     A piece joins the group if its gap to the group's right edge is below most_gap, the group has fewer than `most`
     pieces, and the score of the joined group, joined(scores of its pieces), is below the sum of the group's score and
-    the piece's. A null score is infinite, so it never makes a join. One pass per line; the state is the open group.
+    the piece's. A null score is infinite: it joins whatever makes a finite whole. One pass per line; the state is the open group.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

@@ -226,3 +226,30 @@ def spelling_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token distance between a list word's spelling and that of its first half twice; and its label."""
     rows = list_words(spark, sf_dir).select("word", spell(F.col("word"), unknown="null").alias("a"), spell(F.expr("left(word, length(word) div 2)"), unknown="null").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     return rows.select("word", token_distance(F.col("a"), F.col("b")).alias("distance"), label(F.col("word")).alias("label"))
+
+
+@query("page_pieces")
+def page_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected ink of each vector as an 8 by 8 image."""
+    from ..operators import layout
+
+    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(((x + 1) * 127).cast("int"), F.lit(0)), F.lit(255))), 2, "0"))
+    pages = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.array_join(pixel, "")).alias("pixels"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    return layout.page_pieces(pages, "vec_id", 2)
+
+
+@query("line_fits", "SELECT l_returnflag, round(slope, 4) AS slope, round((wy - slope * wx) / w, 4) AS level FROM (SELECT *, greatest(least((w * wxy - wx * wy) / (w * wxx - wx * wx), 1000), -1000) AS slope FROM (SELECT l_returnflag, sum(l_linenumber)::DOUBLE AS w, sum(l_linenumber * l_quantity) AS wx, sum(l_linenumber * l_extendedprice) AS wy, sum(l_linenumber * l_quantity * l_quantity) AS wxx, sum(l_linenumber * l_quantity * l_extendedprice) AS wxy FROM lineitem GROUP BY l_returnflag))")
+def line_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import layout
+
+    rows = table(spark, sf_dir, "lineitem")
+    out = layout.line_fit(rows, ["l_returnflag"], F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_linenumber"), 1000.0)
+    return out.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("level", 4).alias("level"))
+
+
+@query("boxes_of_parts", "SELECT l_orderkey, greatest(min(l_partkey) - 5, 0) AS x0, greatest(min(l_suppkey) - 5, 0) AS y0, max(l_partkey) + 5 AS x1, max(l_suppkey) + 5 AS y1 FROM lineitem GROUP BY l_orderkey")
+def boxes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import layout
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("x0"), F.col("l_suppkey").alias("y0"), F.col("l_partkey").alias("x1"), F.col("l_suppkey").alias("y1"))
+    return layout.union_box(rows, ["l_orderkey"], 5)

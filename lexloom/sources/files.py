@@ -195,7 +195,7 @@ def key_codes(pages: DataFrame, html: str) -> DataFrame:
     """(code): the signs on the keys of a keyboard page."""
     caps = F.regexp_extract_all(html, F.lit(r'<span class="keycap[^"]*"[^>]*>([^<]*)</span>'), F.lit(1))
     data = F.regexp_extract_all(F.array_join(F.regexp_extract_all(html, F.lit('data-string="((?:&#x[0-9A-Fa-f]+;)+)"'), F.lit(1)), ""), F.lit("&#x([0-9A-Fa-f]+);"), F.lit(1))
-    typed = F.transform(F.filter(F.split(F.array_join(caps, ""), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("int"))
+    typed = F.transform(F.filter(F.split(F.array_join(caps, ""), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "utf-32")), 16, 10).cast("int"))
     codes = pages.select(F.explode(F.concat(typed, F.transform(data, lambda x: F.conv(x, 16, 10).cast("int")))).alias("code"))
     return codes.where(F.col("code").between(SIGNS_FIRST, SIGNS_LAST)).distinct()
 

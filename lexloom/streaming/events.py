@@ -33,15 +33,19 @@ def distinct_within(rows: DataFrame, at: str, keys: list[str], late: str = "1 ho
 
 
 def run_to_end(rows: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and reads its result. Each batch replaces the result, so a batch that is run again changes nothing."""
+    """Runs a stream over what is there now and reads its result.
+
+    A complete result is replaced by each batch, an appended one has a folder for each batch; either way a batch that is
+    run again changes nothing.
+    """
     spark = rows.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
 
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows").select(*rows.columns)
 
 
 def incremental(rows: DataFrame, key: str, folder: str, work: Callable[[DataFrame], DataFrame]) -> None:
