@@ -170,8 +170,8 @@ def note_text(notes: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """`part/whole = p%` with one decimal."""
-    return F.format_string("%d/%d = %.1f%%", part, whole, 100.0 * part / F.greatest(whole, F.lit(1)))
+    """`part/whole = p%` with one decimal, half to even."""
+    return F.format_string("%d/%d = %.1f%%", part, whole, F.bround(100.0 * part / F.greatest(whole, F.lit(1)), 1))  # half to even
 
 
 def present(value: Column) -> Column:
