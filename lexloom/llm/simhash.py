@@ -145,7 +145,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, some: int = SOME) -> tuple[n
     return np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
 
 
-def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS) -> DataFrame:
+def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS, files: int = 4) -> DataFrame:
     """(a, b): links whose components are those of all pairs of the distinct fingerprints `fp` at most two bits apart."""
     indexed = fps.select("fp", F.explode(variants("fp")).alias("key")).repartition("key").sortWithinPartitions("key")
 
@@ -182,7 +182,7 @@ def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS) -> Da
         if len(a):
             yield told(a, b)
 
-    found = checkpointed(indexed.select("key", "fp").mapInArrow(task, "a bigint, b bigint, wildcard int"))
+    found = checkpointed(indexed.select("key", "fp").mapInArrow(task, "a bigint, b bigint, wildcard int").repartition(files))
     links = found.where("wildcard IS NULL").select("a", "b")
     if found.where("wildcard IS NOT NULL").isEmpty():
         return links
@@ -197,7 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, fp, component_id): a row for each row of docs; component_id is the smallest id reachable by links."""
     own = checkpointed(simhash(docs, id_col, text_col, words))
     classes = own.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
-    linked = components(near_links(classes, some, most), "a", "b")
+    total = own.count()
+    files = 4 + total // 500_000
+    linked = components(near_links(classes, some, most, files), "a", "b", files)
     nodes = linked.unionAll(linked.select("root", "root").distinct())
     member = nodes.join(classes.select(F.col("fp").alias("node"), "first"), "node")
     lowest = member.groupBy("root").agg(F.min("first").alias("lowest"))
@@ -205,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = classes.join(reached, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
     # fingerprints of over a thousandth of all rows are at most a thousand; they are sent to every task, so that no
     # task gets all rows of one of them
-    hot = max(HOT_ROWS, own.count() // 1_000)
+    hot = max(HOT_ROWS, total // 1_000)
     marked = own.join(F.broadcast(names.where(F.col("n") > hot).select("fp", F.lit(True).alias("hot"), F.col("component_id").alias("of_hot"))), "fp", "left")
     rest = marked.where("hot IS NULL").join(names.where(F.col("n") <= hot), "fp").select(id_col, "fp", "component_id")
     return rest.unionAll(marked.where("hot").select(id_col, "fp", "of_hot"))
