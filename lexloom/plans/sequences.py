@@ -10,7 +10,7 @@ from ..operators import gaps as G
 from ..operators import ordering as O
 from ..operators import sequences as S
 from .registry import query
-from .tables import entries, table
+from .tables import ENTRIES, entries, table
 
 MINUTE = 60_000_000
 
@@ -72,7 +72,14 @@ def saving(scores: np.ndarray) -> float:
     return float(0.9 * scores.sum() + 3)
 
 
-@query("merge_fold")
+@query(
+    "merge_fold",
+    f"""WITH RECURSIVE {EVENTS}, p AS (SELECT user_id, us AS l, us + 300000000 AS r, coalesce(CASE WHEN event_type <> 'purchase' THEN value END, 'Infinity'::DOUBLE) AS s, row_number() OVER (PARTITION BY user_id ORDER BY us, us + 300000000, event_id) AS i FROM ev),
+    f AS (SELECT user_id, i, 0 AS unit, l AS first, r AS last, 1 AS n, s AS total, s AS best FROM p WHERE i = 1
+      UNION ALL SELECT user_id, i, unit + (NOT j)::INT, CASE WHEN j THEN first ELSE l END, CASE WHEN j THEN greatest(last, r) ELSE r END, CASE WHEN j THEN n + 1 ELSE 1 END, CASE WHEN j THEN total + s ELSE s END, CASE WHEN j THEN 0.9 * (total + s) + 3 ELSE s END
+        FROM (SELECT f.user_id, p.i, unit, first, last, n, total, best, p.l, p.r, p.s, p.l - last < 36000000000 AND n < 3 AND 0.9 * (total + p.s) + 3 < best + p.s AS j FROM f JOIN p ON p.user_id = f.user_id AND p.i = f.i + 1))
+    SELECT user_id, unit, arg_max(first, i) AS first, arg_max(last, i) AS last, max(n) AS n, CASE WHEN NOT isinf(arg_max(best, i)) THEN arg_max(best, i) END AS best FROM f GROUP BY user_id, unit""",
+)
 def merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("user_id", F.col("us").alias("left"), (F.col("us") + 5 * MINUTE).alias("right"), F.when(F.col("event_type") != "purchase", F.col("value")).alias("score"))
     return S.merge_fold(rows, ["user_id"], "left", "right", "score", saving, 600 * MINUTE)
@@ -113,7 +120,11 @@ def neighbour_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "kind")
 
 
-@query("smoothed_labels")
+@query(
+    "smoothed_labels",
+    """WITH t AS (SELECT conv_id, turn, [role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn)] AS x FROM conversations), l AS (SELECT conv_id, list(x ORDER BY turn) AS xs FROM t GROUP BY conv_id)
+    SELECT conv_id, array_to_string(list_reduce(xs, lambda a, x: list_append(a, CASE WHEN len(a) > 0 AND x[2] IS NOT NULL AND a[len(a)] = x[2] AND x[1] <> x[2] THEN x[2] ELSE x[1] END), []::VARCHAR[]), ',') AS smoothed FROM l""",
+)
 def smoothed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns' roles of each conversation with isolated ones smoothed, left to right."""
     roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
@@ -121,7 +132,12 @@ def smoothed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.select("conv_id", F.array_join(S.smooth_labels(labels), ",").alias("smoothed"))
 
 
-@query("page_tracker")
+@query(
+    "page_tracker",
+    """WITH l AS (SELECT conv_id, list([length(text) % 40, (role = 'user')::INT] ORDER BY turn) AS xs FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, list_reduce(xs, lambda a, x: list_append(a, CASE WHEN x[2] = 0 THEN a[len(a)] WHEN x[1] > a[len(a)] AND x[1] <= a[len(a)] + 3 THEN x[1] ELSE a[len(a)] + 1 END), [1]::BIGINT[]) AS a FROM l)
+    SELECT conv_id, a[2:]::INT[] AS pages FROM p""",
+)
 def page_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page numbers along each conversation, read as the length of a turn modulo 40; user turns are page heads."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (F.length("text") % 40).alias("n"), (F.col("role") == "user").alias("h")))).alias("r"))
@@ -134,14 +150,24 @@ def close_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.close_runs(rows, ["user_id"], "l", "r", F.lit(120 * MINUTE), 4).select("user_id", "l", "r", "n")
 
 
-@query("alphabetical_heads")
+@query(
+    "alphabetical_heads",
+    f"""WITH {ENTRIES}, l AS (SELECT source, list([left(headword, 1)] ORDER BY ord) AS xs FROM entries GROUP BY source)
+    SELECT source, len(list_reduce(xs, lambda a, x: CASE WHEN len(a) = 0 OR (x[1] >= list_min(a[-5:]) AND ascii(x[1]) <= ascii(list_max(a[-5:])) + 4) THEN list_append(a, x[1]) ELSE a END, []::VARCHAR[])) AS n FROM l""",
+)
 def alphabetical_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many heads of each source are in alphabetical order as far as the last accepted ones tell."""
     rows = entries(spark, sf_dir).select("source", "ord", "headword")
     return S.in_alphabetical_order(rows, ["source"], "ord", "headword").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("text_lines")
+@query(
+    "text_lines",
+    f"""WITH RECURSIVE {EVENTS}, p AS (SELECT user_id, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY value, us) AS i FROM ev),
+    f AS (SELECT user_id, i, 0 AS line, y AS mean, 1 AS n FROM p WHERE i = 1
+      UNION ALL SELECT f.user_id, p.i, line + (abs(p.y - mean) > 5)::INT, CASE WHEN abs(p.y - mean) > 5 THEN p.y ELSE mean + (p.y - mean) / (n + 1) END, CASE WHEN abs(p.y - mean) > 5 THEN 1 ELSE n + 1 END FROM f JOIN p ON p.user_id = f.user_id AND p.i = f.i + 1)
+    SELECT user_id, max(line) + 1 AS n_lines, count(*) AS n FROM f GROUP BY user_id""",
+)
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user clustered into lines by their value."""
     rows = events(spark, sf_dir).select("user_id", F.col("us").alias("x"), F.col("value").alias("y"), "event_id")
@@ -203,7 +229,14 @@ def paired_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("size(x) = size(y) AND size(x) > 0").select("k", F.inline(F.arrays_zip("x", "y")))
 
 
-@query("width_batches")
+@query(
+    "width_batches",
+    """WITH RECURSIVE p AS (SELECT source, n_chars AS w, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
+    f AS (SELECT source, i, 0 AS batch, 1 AS size, w AS widest FROM p WHERE i = 1
+      UNION ALL SELECT source, i, batch + c::INT, CASE WHEN c THEN 1 ELSE size + 1 END, CASE WHEN c THEN w ELSE greatest(w, widest) END
+        FROM (SELECT f.source, p.i, batch, size, widest, w, size >= 16 OR (size + 1) * greatest(widest, w) > 60000 AS c FROM f JOIN p ON p.source = f.source AND p.i = f.i + 1))
+    SELECT source, max(batch) + 1 AS n_batches, count(*) AS n FROM f GROUP BY source""",
+)
 def width_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     return O.width_batches(rows, ["source"], "doc_id", "n_chars", 16, 60_000).groupBy("source").agg((F.max("batch") + 1).alias("n_batches"), F.count("*").alias("n"))
