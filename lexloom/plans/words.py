@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import sql as Q
 from ..functions import text as X
 from ..functions import tokens as K
+from ..operators import wordlist as W
 from .registry import query
-from .tables import DOC_WORDS, ENTRIES, LIST_WORDS, doc_words, entries, list_words, table
+from .tables import DOC_WORDS, ENTRIES, LIST_WORDS, NAME_WORDS, doc_words, entries, list_words, name_words, table
 
 
 @query("word_split_counts", f"WITH {DOC_WORDS} SELECT lang, split, count(*) AS n_words, count(DISTINCT key) AS n_keys FROM (SELECT lang, key, {Q.split_of('key')} AS split FROM doc_words) GROUP BY lang, split")
@@ -135,3 +136,36 @@ def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.coalesce(D.parts(line, "pos"), D.parts(line, "tag"), D.parts(line, "plain"))
     taken = rows.select("ord", found.alias("p")).where("p IS NOT NULL")
     return taken.select("ord", D.repaired(F.col("p.head")).alias("head"), F.size("p.alternatives").alias("n_spellings"), D.marked(F.col("p.mark")).alias("pos"), D.origin(F.col("p.mark")).alias("origin"), D.gloss(F.col("p.rest")).alias("gloss"))
+
+
+_TOKENS = f"array_to_string(list_filter(t, lambda x, i: i = 1 OR list_contains({_KEEP_SQL}, x) OR x <> t[i - 1]), ' ')"
+_SPELLED = f"""{LIST_WORDS}, {NAME_WORDS}, two AS (SELECT word, 0 AS list_no FROM list_words WHERE NOT contains(word, 'aw') UNION ALL SELECT word, 1 FROM name_words WHERE NOT contains(word, 'aw')),
+  raw AS (SELECT word, list_no, list_transform(regexp_extract_all(replace(word, 'x', 'ks'), '{_PATTERN_SQL}'), lambda p: ({_MAP_SQL})[p]) AS t FROM two), sp AS (SELECT word, list_no, {_TOKENS} AS tokens FROM raw WHERE NOT list_contains(list_transform(t, lambda x: x IS NULL), true))"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [x.where(~F.contains("word", F.lit("aw"))).select(F.col("word").alias("headword"), F.lit("A").alias("conf"), F.lit("").alias("tokens"), F.col("word").alias("ord")) for x in (list_words(spark, sf_dir), name_words(spark, sf_dir))]
+
+
+@query("candidate_list", f"WITH {_SPELLED}, o AS (SELECT tokens, word, min((list_no, word)) AS p FROM sp GROUP BY tokens, word), g AS (SELECT tokens, list(word ORDER BY p) AS h FROM o GROUP BY tokens) SELECT tokens, h[1] AS headword, array_to_string(h[2:4], '|') AS others FROM g")
+def candidate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.candidates(*_lists(spark, sf_dir)).select("tokens", "headword", F.array_join("others", "|").alias("others"))
+
+
+_SEEDS = ["v0", "v1", "v2", "v3", "v4"]
+
+
+@query("fold_splits", f"WITH {LIST_WORDS} SELECT seed, split, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS seed, {Q.split_of('word', seed=s)} AS split FROM list_words" for s in _SEEDS) + ") GROUP BY seed, split")
+def fold_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.fold_splits(list_words(spark, sf_dir), "word", _SEEDS).groupBy("seed", "split").agg(F.count("*").alias("n"))
+
+
+@query("leak_free_words", f"WITH {_SPELLED}, s AS (SELECT word, tokens, {Q.split_of('word')} AS split FROM sp WHERE list_no = 0) SELECT word, tokens FROM s WHERE split = 'train' AND tokens NOT IN (SELECT tokens FROM s WHERE split = 'test')")
+def leak_free_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = list_words(spark, sf_dir).where(~F.contains("word", F.lit("aw"))).select("word", F.array_join(K.spell(F.col("word"), unknown="null"), " ").alias("tokens"), X.split_of(F.col("word")).alias("split"))
+    return W.without_leaks(words.where("tokens IS NOT NULL"), "split", "tokens").select("word", "tokens")
+
+
+@query("trainable_words", f"WITH {ENTRIES} SELECT DISTINCT headword FROM entries WHERE regexp_full_match(headword, '[a-z]+') AND conf IN ('A', 'B') AND {Q.split_of('headword')} <> 'test'")
+def trainable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.trainable(entries(spark, sf_dir).select("headword", "conf").distinct(), "headword", "conf").select("headword").distinct()

@@ -98,3 +98,34 @@ def test_streams(spark, sf_dir, tmp_path):
         events.incremental(stream, "event_id", str(tmp_path / "i"), doubled)
     assert spark.read.parquet(str(tmp_path / "i/done")).count() == n
     assert events.run_to_end(events.distinct_within(stream, "at", ["user_id"], "60 days"), str(tmp_path / "d"), "append").count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lexloom.__main__ import lookup, main
+
+    path = tmp_path / "lexicon.tsv"
+    path.write_text("headword\tvariants\tgloss_en\tgloss_fr\tpos\tsource_key\tsource_page\tkamloops\tnotes\nkamooks\tcomox|kamuks\tdog\t\tn\ts1\t1\tyes\tconf=A\nmoola\t\tmill\t\tn\ts2\t\tno\tconf=B\n")
+    rows = [(r.q, r.headword, r.distance, r.glosses) for r in lookup(spark, ["Comox", "mola", "zzzzzz"], str(path)).collect()]
+    assert rows == [("Comox", "kamooks", 0, ["dog"]), ("mola", "moola", 1, ["mill"])]
+    main(["spell", "kamooks"])
+    assert "K A M OO K S" in capsys.readouterr().out
+
+
+def test_sql_functions(spark):
+    from lexloom.functions import registration
+
+    registration.register(spark)
+    row = spark.sql("SELECT align_tokens(array('a', 'b'), array('a')) AS x, deletion_variants('ab', 1) AS v").first()
+    assert [tuple(s) for s in row.x] == [("a", "a"), ("b", None)] and sorted(row.v) == ["a", "ab", "b"]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM cuts('abc')").collect()] == [(1, "a", "bc"), (2, "ab", "c")]
+
+
+def test_word_list_build(spark):
+    from lexloom.operators import wordlist
+
+    entries = spark.createDataFrame([("a", "A"), ("c", "C")], "headword string, best_conf string")
+    rows = spark.createDataFrame([("chn", "S T", "st", "x", 1), ("chn", "S T", "s.t", "x", 0), ("chn", "", "n", "x", 2), ("en", "A", "a", "y", 3)], "language string, tokens_rule string, latin string, source string, ord int")
+    out = {tuple(r) for r in wordlist.build(entries, rows, ["x"], "chn").collect()}
+    assert out == {("a", "A", "", "lexicon"), ("s.t", "A", "S T", "x")}
+    with pytest.raises(ValueError, match="y"):
+        wordlist.build(entries, rows, ["x", "y"], "chn")
