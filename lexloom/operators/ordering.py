@@ -6,12 +6,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "n") -> DataFrame:
     """Rows with their 1-based place within a key."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def positions(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """Rows with their 0-based place in the whole table, without one task for all rows: places within range partitions, and the sizes of the partitions before."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the lower 33 bits of the id count the rows of a partition, the upper ones are its number
+    placed = checkpointed(sorted_rows.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftrightunsigned("__id", 33))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each partition
+    return placed.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__before") + F.col("__id").bitwiseAND(2**33 - 1)).alias(name))
+
+
 def shard(rows: DataFrame, keys: list[str], order: list, start: int, step: int) -> DataFrame:
     """Every step-th row of each key, beginning with the row at place `start` from 0."""
     n = F.col("__n") - 1

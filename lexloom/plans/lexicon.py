@@ -9,6 +9,7 @@ from ..functions import sql as Q
 from ..functions.text import headword_key
 from ..operators import lexicon as L
 from ..operators import similarity as S
+from ..operators.ordering import positions
 from .registry import query
 from .tables import ENTRIES, LIST_WORDS, NAME_WORDS, entries, list_words, name_words, table
 
@@ -130,10 +131,7 @@ def deletion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r AS reading, a, b, distance FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY distance, a, b) AS n FROM best) WHERE n <= 400""",
 )
 def pair_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # the reference list is small by contract; a word list of any size would carry its own order
-    words = list_words(spark, sf_dir).withColumn("pos", F.row_number().over(Window.orderBy("word")) - 1)
+    words = positions(list_words(spark, sf_dir), ["word"])
     readings = table(spark, sf_dir, "part").select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("reading")).distinct().withColumn("r", F.col("reading"))
     return S.propose_pairs(readings, words, "reading", "r", "word", "pos")
 

@@ -137,6 +137,13 @@ def test_groups_in_order(spark):
     assert sorted((r.i, r.batch) for r in ordering.width_batches(widths, ["k"], "i", "w", 3, 10).collect()) == [(0, 1), (1, 0), (2, 2), (3, 0), (4, 0)]
 
 
+def test_positions_of_all_rows(spark):
+    rnd = random.Random(6)
+    values = [(rnd.randrange(50), i) for i in range(2_000)]
+    out = ordering.positions(spark.createDataFrame(values, "x int, i int").repartition(7), ["x", "i"]).orderBy("pos").collect()
+    assert [(r.x, r.i) for r in out] == sorted(values) and [r.pos for r in out] == list(range(2_000))
+
+
 def test_nearest_is_brute_force(spark):
     rnd = random.Random(4)
     rows = [(rnd.randrange(3), i, rnd.randrange(60)) for i in range(80)]
