@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, pieces, ranges, table
+from .common import fields, list_array, pieces, ranges, table
 from .words import splitter
 
 #: Words that a worker keeps encoded; beyond it, the store starts anew with the next piece.
@@ -232,8 +232,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != out_col), out], [*(c for c in names if c != out_col), out_col])
                 start = stop
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in encoded.dtypes if c != out_col), f"`{out_col}` binary"])
-    return encoded.mapInArrow(task, schema)
+    return encoded.mapInArrow(task, fields([encoded.schema[c] for c in names if c != out_col], f"`{out_col}` binary"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 from ..session import checkpointed, shared_folder
 
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fields(kept: list[StructField], made: str) -> StructType:
+    """A schema of fields of another one, whatever their names, and of new ones as text."""
+    return StructType([*kept, *StructType.fromDDL(made).fields])
+
+
 def strings(column: pa.Array, null: str | None = "") -> list:
     """Python strings of an Arrow string column; bytes that aren't UTF-8 become replacement characters."""
     try:

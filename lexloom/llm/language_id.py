@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import fields, pieces, table
 
 MOST_GRAM, BUCKETS, LANDMARKS = 3, 1 << 16, 256
 #: The bound of the training sample: documents in all, and of one language.
@@ -161,8 +161,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 langs, score = model.predict([x or "" for x in texts])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*rest, "lang_pred", "score"])
 
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(task, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string", "score double"]))
+    return docs.mapInArrow(task, fields([docs.schema[c] for c in rest], "lang_pred string, score double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from .common import BASE, byte_pieces, hash_ranges, list_array, mix, table
+from .common import BASE, byte_pieces, fields, hash_ranges, list_array, mix, table
 
 PIECE_BYTES = 2_000_000
 #: The training sample: documents, and lines of each.
@@ -251,9 +252,8 @@ def label_lines(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
                 ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "line_labels"],
             )
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double, line_labels array<tinyint>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, schema).withColumnRenamed("id", id_col)
+    schema = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double, line_labels array<tinyint>"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, fields([StructField("id", docs.schema[id_col].dataType)], schema)).withColumnRenamed("id", id_col)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Crf:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import fields, pieces, table
 from .words import stable_splitter
 
 CHUNK_CHARS, OVERLAP_CHARS, LIMIT = 16_384, 256, 512
@@ -164,8 +164,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out_col: st
             n = counter.counts([x or "" for x in texts], chunk, overlap)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, pa.int64())], [*rest, out_col])
 
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(task, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{out_col}` bigint"]))
+    return docs.mapInArrow(task, fields([docs.schema[c] for c in rest], f"`{out_col}` bigint"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

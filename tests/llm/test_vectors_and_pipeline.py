@@ -53,7 +53,8 @@ def test_odd_vectors(spark):
 def pipeline_docs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extra = [(9_000, None, "en", "src0", 0), (9_001, "$$$ 1 2 3", "en", "src1", 9), (9_002, "", None, None, 0)]
-    return docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    return docs.withColumns({"row": F.lit(1), "kept": F.lit(None).cast("string"), "score of: it": F.array(F.lit(0.5)), "id": F.lit("x")})
 
 
 def test_pipeline_stages(spark, sf_dir):
