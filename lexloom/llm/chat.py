@@ -12,7 +12,7 @@ aggregation by hash, so that a first turn that a third of all conversations shar
 gathers a conversation in one row, as its output is one row.
 
 Defined results: rows without a conversation id take no part; of rows that are equal in all four columns one counts;
-turns are in order of turn number (null first), then role and text; a null role is `unknown`, a null text empty;
+turns are in order of turn number (null first), then role and text (in comparisons, then the hash of the text); a null role is `unknown`, a null text empty;
 marker strings inside a text are broken up with a zero-width space, so that no text can start a turn; columns other
 than the four are ignored; an empty table gives an empty table.
 """
@@ -29,20 +29,25 @@ BLOCK = 1_024
 _SEEDS = ("a", "b")
 
 
-def turns_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, position from 1, role, text, block): distinct turns in their order."""
+def _cleaned(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, part): part is a run of BLOCK turn numbers."""
     rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.where("conv_id IS NOT NULL").distinct().withColumn("part", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+    return rows.where("conv_id IS NOT NULL").withColumn("part", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+
+
+def positions(conversations: DataFrame) -> DataFrame:
+    """(conv_id, position from 1, block, a, b): distinct turns in their order, with two hashes for their role and text. No text is shuffled."""
+    rows = _cleaned(conversations).select("conv_id", "turn", "role", "part", *(F.xxhash64(F.lit(s), "role", "text").alias(s) for s in _SEEDS)).distinct()
     # the position in a long conversation is the place in its part and the rows of the parts before
     sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("conv_id", "part", "before")
-    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text"))
-    return rows.withColumn("place", place).join(before, ["conv_id", "part"]).select("conv_id", (F.col("before") + F.col("place")).alias("position"), "role", "text").withColumn("block", F.floor((F.col("position") - 1) / BLOCK))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", *_SEEDS))
+    return rows.withColumn("place", place).join(before, ["conv_id", "part"]).select("conv_id", (F.col("before") + F.col("place")).alias("position"), *_SEEDS).withColumn("block", F.floor((F.col("position") - 1) / BLOCK))
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, n, a, b): two hashes of the first n turns, for each n."""
-    hashed = turns.select("conv_id", "position", "block", *(F.xxhash64(F.lit(s), "position", "role", "text").cast("decimal(38,0)").alias(s) for s in _SEEDS))
+    hashed = turns.select("conv_id", "position", "block", *(F.xxhash64("position", s).cast("decimal(38,0)").alias(s) for s in _SEEDS))
     inner = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = hashed.groupBy("conv_id", "block").agg(*(F.sum(s).alias(f"{s}_block") for s in _SEEDS))
@@ -52,7 +57,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_snapshots): conversations that no other one continues; n_snapshots counts equal copies dropped for this one."""
+    """(conv_id, n_turns, n_copies): conversations that no other one continues; n_copies counts equal ones dropped for this one."""
     hashes = prefix_hashes(turns)
     sizes = turns.groupBy("conv_id").agg(F.max("position").alias("n"))
     marked = hashes.join(sizes.withColumnRenamed("n", "length"), "conv_id").withColumn("whole", F.col("n") == F.col("length"))
@@ -61,21 +66,21 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(continued, ["n", *_SEEDS], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
 
 
-def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """The kept conversations with their text as ChatML."""
-    safe = lambda c: F.replace(F.replace(c, F.lit(OPEN), F.lit("<|​im_start|>")), F.lit(CLOSE), F.lit("<|​im_end|>"))
-    line = F.concat(F.lit(OPEN), safe(F.col("role")), F.lit("\n"), safe(F.col("text")), F.lit(CLOSE + "\n"))
-    # blocks are joined first, then the few blocks of each conversation
-    lines = turns.join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
-    blocks = lines.select("conv_id", "block", F.array_join(F.col("lines.line"), "").alias("part"))
-    texts = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts")).select("conv_id", F.array_join(F.col("parts.part"), "").alias("rendered"))
+def render(conversations: DataFrame, kept: DataFrame) -> DataFrame:
+    """The kept conversations (conv_id, ...) with their turns as ChatML. Their texts are shuffled once: parts are joined first, then the few parts of each."""
+    safe = lambda c: F.replace(F.replace(c, F.lit(OPEN), F.lit("<|\u200bim_start|>")), F.lit(CLOSE), F.lit("<|\u200bim_end|>"))
+    line = lambda t: F.concat(F.lit(OPEN), safe(t["role"]), F.lit("\n"), safe(t["text"]), F.lit(CLOSE + "\n"))
+    own = _cleaned(conversations).join(kept.select("conv_id"), "conv_id", "left_semi")
+    parts = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    blocks = parts.select("conv_id", "part", F.array_join(F.transform("turns", line), "").alias("text"))
+    texts = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts")).select("conv_id", F.array_join(F.col("parts.text"), "").alias("rendered"))
     return kept.join(texts, "conv_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the maximal conversations, rendered."""
-    turns = turns_of(table(spark, sf_dir, "conversations"))
-    return render(turns, maximal(turns)).select("conv_id", "n_turns", "n_copies", "rendered")
+    conversations = table(spark, sf_dir, "conversations")
+    return render(conversations, maximal(positions(conversations))).select("conv_id", "n_turns", "n_copies", "rendered")
 
 
 ORACLE = """

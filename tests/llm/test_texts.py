@@ -219,11 +219,10 @@ def test_chat_snapshots(spark):
     ]
     turns += [(9, i, "user", f"t{i}") for i in range(3_000)] + [(10, i, "user", f"t{i}") for i in range(2_500)]
     df = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, position string")
-    ordered = chat.turns_of(df)
-    out = {r.conv_id: r for r in chat.render(ordered, chat.maximal(ordered)).collect()}
+    out = {r.conv_id: r for r in chat.render(df, chat.maximal(chat.positions(df))).collect()}
     assert {i: (r.n_turns, r.n_copies) for i, r in out.items()} == {2: (3, 1), 4: (1, 0), 5: (1, 0), 6: (2, 0), 7: (1, 0), 8: (2, 0), 9: (3_000, 0)}
     assert out[2].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n"
     assert out[5].rendered.count("<|im_start|>") == 1 and out[6].rendered.index("z") < out[6].rendered.index("y")
     assert [int(x[1:]) for x in re.findall(r"\n(t\d+)<", out[9].rendered)] == list(range(3_000))
-    empty = chat.turns_of(df.limit(0))
-    assert chat.render(empty, chat.maximal(empty)).collect() == []
+    empty = df.limit(0)
+    assert chat.render(empty, chat.maximal(chat.positions(empty))).collect() == []
