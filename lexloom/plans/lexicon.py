@@ -138,9 +138,8 @@ def pair_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("close_matches")
 def close_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list words nearest to each name word by matching blocks. The list is the benchmark's, of bounded size."""
-    words = sorted(r.word for r in list_words(spark, sf_dir).limit(20_000).collect())
-    return S.close_matches(name_words(spark, sf_dir), words, "word")
+    """The list words nearest to each name word by matching blocks; every list word counts."""
+    return S.close_matches(name_words(spark, sf_dir), list_words(spark, sf_dir), "word", "word")
 
 
 @query("first_wins_words", f"WITH {ENTRIES} SELECT headword, arg_min(head, ord) AS head, arg_min(source, ord) AS source FROM entries GROUP BY headword")
