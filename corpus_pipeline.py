@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import language_id, packing, quality_rules, simhash
@@ -35,17 +35,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _filtered(docs, quality_rules.label_lines(rows, model, id_col="row").where("kept"))
 
 
+def _text_keys(text: str) -> list[Column]:
+    """128 bits of a text, as two numbers."""
+    return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2")]
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: the one with the smallest doc_id (of rows that repeat it, one)."""
-    found = simhash.near_duplicates(docs)
-    # a document without an id is its own only if its group has no other
-    first = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Keeps one document of each near-duplicate group: the one with the smallest doc_id, null last.
+
+    A document is told by its id and its text, so that ids may be null or repeat: rows with both in common are in one
+    group. Of texts that share the smallest id the one with the smallest key stays, of rows that share both the least row.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *_text_keys("text"))
+    found = simhash.near_duplicates(docs.select(key.alias("document"), "text"), id_col="document")
+    # the name of a group is the key of one of its documents
+    first = found.select("component_id.*").distinct()
+    names = ["doc_id", "__h1", "__h2"]
+    own = docs.select("*", *_text_keys("text"))
+    same = lambda other: [own["doc_id"].eqNullSafe(other["doc_id"]), own["__h1"] == other["__h1"], own["__h2"] == other["__h2"]]
+    kept = own.join(first, same(first), "left_semi")
+    twice = kept.groupBy(*names).count().where("count > 1").select(*names)
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
-    repeated = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        return kept.select(*docs.columns)
+    once = kept.join(twice, same(twice), "left_anti").select(*docs.columns)
+    repeated = kept.join(twice, same(twice), "left_semi").groupBy(*names).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return once.unionAll(_filtered(docs, repeated))
 
 
