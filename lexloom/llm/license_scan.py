@@ -39,6 +39,7 @@ NAMES = {
     "MPL-2.0": (["Mozilla Public License Version 2.0"], False),
     "GPL-2.0": (["GNU General Public License Version 2"], False),
     "GPL-3.0": (["GNU General Public License Version 3"], False),
+    "LGPL-2.1": (["GNU Lesser General Public License Version 2.1"], False),
     "LGPL-3.0": (["GNU Lesser General Public License Version 3"], False),
     "AGPL-3.0": (["GNU Affero General Public License Version 3"], False),
     "CC0-1.0": (["CC0 1.0", "Creative Commons Zero 1.0"], True),
@@ -68,6 +69,35 @@ TEXTS = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+#: Parts of longer texts (fixed values).
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_AS_IS = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+_GNU_REST = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} for more details. You should have received a copy of the GNU {2} along with this {0}{5}"
+_GNU_ENDS = ("", ". If not, see https://www.gnu.org/licenses/.", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA")
+_GNU_KINDS = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
+_CC_KINDS = {"CC-BY-4.0": ("Attribution", "by"), "CC-BY-SA-4.0": ("Attribution-ShareAlike", "by-sa"), "CC-BY-NC-4.0": ("Attribution-NonCommercial", "by-nc"), "CC-BY-ND-4.0": ("Attribution-NoDerivatives", "by-nd")}
+_CC = "This work is licensed under {0} Creative Commons {1} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{2}/4.0/"
+#: Further texts of a licence: with its disclaimer, with all paragraphs of its notice.
+MORE_TEXTS = [
+    ("MIT", f"{TEXTS['MIT']} {_AS_IS}"),
+    ("MIT", f"MIT License {TEXTS['MIT']} {_AS_IS}"),
+    ("ISC", f"{TEXTS['ISC']} {_ISC_AS_IS}"),
+    ("ISC", f"ISC License {TEXTS['ISC']} {_ISC_AS_IS}"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", _BSD_NAMES),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/."),
+    ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    *((key, text.format(what, mark, name, mark, version, end)) for key, (name, version) in _GNU_KINDS.items() for what in ("program", "library") for mark in ":;" for text, ends in ((_GNU, _GNU_ENDS[:1]), (f"{_GNU} {_GNU_REST}", _GNU_ENDS)) for end in ends),
+    *((key, _CC.format(article, name, mark) + end) for key, (name, mark) in _CC_KINDS.items() for article in ("the", "a") for end in ("", " or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.")),
+]
+
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _DIGIT = re.compile("[0-9]")
 _COPYRIGHT = re.compile(r"\s*(copyright\b|\(c\)|©).*", re.IGNORECASE)
@@ -99,7 +129,7 @@ def bigrams(words: list[str]) -> set[tuple[str, str]]:
 def templates() -> tuple[list[tuple[str, int]], dict[tuple[str, str], list[int]]]:
     """(licence, number of bigrams) of each template, and the templates that have each bigram."""
     texts = [(key, notice.format(name)) for key, (names, _) in NAMES.items() for name in names for notice in NOTICES]
-    texts += [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items())
+    texts += [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items()) + MORE_TEXTS
     sets = sorted({(key, frozenset(bigrams(words_of(text)))) for key, text in texts}, key=lambda x: (x[0], sorted(x[1])))
     index: dict[tuple[str, str], list[int]] = {}
     for i, (_, own) in enumerate(sets):
