@@ -30,6 +30,51 @@ def test_recall(spark, sf_dir):
     assert sum(len(set(got[q]) & set(expected[q])) for q in got) / (20 * len(got)) >= 0.9
 
 
+def test_counts_of_bit_sets():
+    rng = np.random.default_rng(3)
+    for many in (1, 2, 3, 7, 64):
+        held = rng.random((many, 2, 128)) < 0.4
+        sets = np.packbits(held, axis=2, bitorder="little").view(np.uint64)
+        for threshold in range(many + 2):
+            got = np.unpackbits(neighbours.at_least(sets, threshold).view(np.uint8), axis=1, bitorder="little")
+            assert (got == (held.sum(axis=0) >= threshold)).all()
+
+
+def test_windows_hold_all_places_within_their_width():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(1_000, 12))
+    points /= np.sqrt((points**2).sum(axis=1))[:, None]
+    turn = neighbours.lines(12)
+    index, placed = neighbours.Index(points, turn), points @ turn
+    chosen = np.tile(np.arange(turn.shape[1]), (5, 1))
+    for width in (0.01, 0.1, 0.5, 3.0):
+        centres = placed[:5]
+        for threshold in (1, 100, turn.shape[1]):
+            found = np.unpackbits(index.colliding(chosen, centres, width, threshold).view(np.uint8), axis=1, count=1_000, bitorder="little")
+            exact = (np.abs(placed[None] - centres[:, None]) <= width - 1e-6).sum(axis=2) >= threshold
+            assert (found >= exact).all()  # windows end at cells, so they hold no less
+    assert found.all()
+
+
+def test_recall_at_the_defaults():
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(neighbours.BLOCK, 64))
+    ids = np.arange(len(vectors))
+    q = ids[::320]
+    found = neighbours.search_block(ids, vectors, q, vectors[q], np.sqrt((vectors**2).sum(axis=1)).max())
+    exact = [set(np.argsort(-np.where(ids == i, -np.inf, vectors @ vectors[i]))[:20]) for i in q]
+    assert sum(v in exact[i] for i, v in zip(found[0], found[1], strict=True)) / (20 * len(q)) >= 0.9
+
+
+def test_query_of_a_table(spark, sf_dir):
+    df = neighbours.query(spark, sf_dir)
+    assert df.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    rows = df.collect()
+    assert {(r.query_id, r["rank"]) for r in rows} == {(i, k) for i in vectors if i % 20 == 0 for k in range(1, 21)}
+    assert all(abs(r.score - vectors[r.query_id] @ vectors[r.vec_id]) < 1e-12 and r.vec_id != r.query_id for r in rows)
+
+
 def test_unequal_lengths_of_vectors_are_found():
     rng = np.random.default_rng(1)
     n = 4_000
@@ -38,10 +83,21 @@ def test_unequal_lengths_of_vectors_are_found():
     q = ids[::200]
     largest = np.sqrt((vectors**2).sum(axis=1)).max()
     found = neighbours.search_block(ids, vectors, q, vectors[q], largest)
-    exact = {i: set(np.argsort(-np.where(ids == i, -np.inf, vectors @ vectors[i]))[:20]) for i in q}
+    exact = [set(np.argsort(-np.where(ids == i, -np.inf, vectors @ vectors[i]))[:20]) for i in q]
     assert sum(v in exact[i] for i, v in zip(found[0], found[1], strict=True)) / (20 * len(q)) >= 0.9
 
 
+def test_repeated_ids_and_large_products(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1e200, -1e200]), (2, [3.0, 4.0]), (40, [1e200, 1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df, F.col("id") % 20 == 0).collect())
+    inf = float("inf")
+    one = [(1e200, 1), (1e200, 40), (3.0, 2), (0.0, 20)]
+    other = [(1e200, 40), (4.0, 2), (0.0, 20), (-1e200, 1)]
+    large = [(7e200, 2), (1e200, 20), (1e200, 20), (-inf, 1)]
+    assert out == sorted((q, k + 1, v, s) for q, x in ((20, one), (20, other), (40, large)) for k, (s, v) in enumerate(x))
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [float("inf"), 0.0]), (4, [-1.0, 0.0]), (None, [1.0, 1.0]), (5, [1.0, 2.0, 3.0]), (100, [0.0, 2.0]), (120, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string")
