@@ -7,12 +7,12 @@ Only those are rendered, as ChatML.
 
 The hash after n turns is the sum of the hashes of the first n turns, each taken with its position, role and text, in
 two independent 64-bit sums. A sum needs no order within it, so a conversation of very many turns is summed in
-blocks of BLOCK turns, and no task ever holds more than a block of one conversation. Snapshots are told by an
+blocks of BLOCK turns, and turns are numbered in range partitions, so that no task holds more than a part of a long one. Snapshots are told by an
 aggregation by hash, so that a first turn that a third of all conversations share is one row for each task. Rendering
 gathers a conversation in one row, as its output is one row.
 
 Defined results: rows without a conversation id take no part; of rows that are equal in all four columns one counts;
-turns are in order of turn number (null first), then role and text (in comparisons, then the hash of the text); a null role is `unknown`, a null text empty;
+turns are in order of turn number (null first), then role and text; a null role is `unknown`, a null text empty;
 marker strings inside a text are broken up with a zero-width space, so that no text can start a turn; columns other
 than the four are ignored; an empty table gives an empty table.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BLOCK = 1_024
@@ -30,39 +30,50 @@ _SEEDS = ("a", "b")
 
 
 def _cleaned(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, part): part is a run of BLOCK turn numbers."""
+    """(conv_id, turn, role, text) without nulls but of turn."""
     rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.where("conv_id IS NOT NULL").withColumn("part", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+    return rows.where("conv_id IS NOT NULL")
 
 
 def positions(conversations: DataFrame) -> DataFrame:
-    """(conv_id, position from 1, block, a, b): distinct turns in their order, with two hashes for their role and text. No text is shuffled."""
-    rows = _cleaned(conversations).select("conv_id", "turn", "role", "part", *(F.xxhash64(F.lit(s), "role", "text").alias(s) for s in _SEEDS)).distinct()
-    # the position in a long conversation is the place in its part and the rows of the parts before
-    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("conv_id", "part", "before")
-    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", *_SEEDS))
-    return rows.withColumn("place", place).join(before, ["conv_id", "part"]).select("conv_id", (F.col("before") + F.col("place")).alias("position"), *_SEEDS).withColumn("block", F.floor((F.col("position") - 1) / BLOCK))
+    """(conv_id, position from 1, length, block, a, b): distinct turns in their order, with two hashes for their role and text.
+
+    Texts are shuffled only of turns that share number and role with another of their conversation. The order is that of
+    a table in range partitions, so that a conversation of any length, even of one turn number, is split.
+    """
+    rows, keys = _cleaned(conversations), ["conv_id", "turn", "role"]
+    hashes = [F.xxhash64(F.lit(s), "role", "text").alias(s) for s in _SEEDS]
+    groups = checkpointed(rows.select(*keys, *hashes).groupBy(*keys).agg(*(F.min(s).alias(s) for s in _SEEDS), F.expr("min(a) <> max(a) OR min(b) <> max(b)").alias("tied")))
+    turns = groups.where("NOT tied").select(*keys, F.lit("").alias("text"), *_SEEDS)
+    if not (tied := groups.where("tied").select(*keys)).isEmpty():
+        same = [rows["conv_id"] == tied["conv_id"], rows["turn"].eqNullSafe(tied["turn"]), rows["role"] == tied["role"]]
+        turns = turns.unionAll(rows.join(tied, same, "left_semi").distinct().select(*keys, "text", *hashes))
+    ordered = turns.repartitionByRange(*keys, "text").sortWithinPartitions(*keys, "text")
+    # the numbers of a partition's rows follow each other, with the number of the partition from bit 33
+    placed = checkpointed(ordered.select("conv_id", F.monotonically_increasing_id().alias("place"), *_SEEDS)).withColumn("task", F.shiftright("place", 33))
+    tasks = placed.groupBy("conv_id", "task").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    every = Window.partitionBy("conv_id")
+    before = F.coalesce(F.sum("n").over(every.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = tasks.select("conv_id", "task", (before + 1 - F.col("first")).alias("shift"), F.sum("n").over(every).alias("length"))
+    return placed.join(offsets, ["conv_id", "task"]).select("conv_id", (F.col("place") + F.col("shift")).alias("position"), "length", *_SEEDS).withColumn("block", F.floor((F.col("position") - 1) / BLOCK))
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, n, a, b): two hashes of the first n turns, for each n."""
-    hashed = turns.select("conv_id", "position", "block", *(F.xxhash64("position", s).cast("decimal(38,0)").alias(s) for s in _SEEDS))
+    """(conv_id, n, length, a, b): two hashes of the first n turns, for each n."""
+    hashed = turns.select("conv_id", "position", "length", "block", *(F.xxhash64("position", s).cast("decimal(38,0)").alias(s) for s in _SEEDS))
     inner = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = hashed.groupBy("conv_id", "block").agg(*(F.sum(s).alias(f"{s}_block") for s in _SEEDS))
     before = sums.select("conv_id", "block", *(F.coalesce(F.sum(f"{s}_block").over(outer), F.lit(0)).alias(f"{s}_before") for s in _SEEDS))
-    rolled = hashed.select("conv_id", "block", "position", *(F.sum(s).over(inner).alias(s) for s in _SEEDS)).join(before, ["conv_id", "block"])
-    return rolled.select("conv_id", F.col("position").alias("n"), *((F.col(s) + F.col(f"{s}_before")).cast("decimal(38,0)").alias(s) for s in _SEEDS))
+    rolled = hashed.select("conv_id", "block", "position", "length", *(F.sum(s).over(inner).alias(s) for s in _SEEDS)).join(before, ["conv_id", "block"])
+    return rolled.select("conv_id", F.col("position").alias("n"), "length", *((F.col(s) + F.col(f"{s}_before")).cast("decimal(38,0)").alias(s) for s in _SEEDS))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies): conversations that no other one continues; n_copies counts equal ones dropped for this one."""
     hashes = prefix_hashes(turns)
-    sizes = turns.groupBy("conv_id").agg(F.max("position").alias("n"))
-    marked = hashes.join(sizes.withColumnRenamed("n", "length"), "conv_id").withColumn("whole", F.col("n") == F.col("length"))
-    continued = marked.where("NOT whole").select("n", *_SEEDS).distinct()
-    whole = marked.where("whole").groupBy("n", *_SEEDS).agg(F.min("conv_id").alias("conv_id"), (F.count("*") - 1).alias("n_copies"))
+    continued = hashes.where("n < length").select("n", *_SEEDS).distinct()
+    whole = hashes.where("n = length").groupBy("n", *_SEEDS).agg(F.min("conv_id").alias("conv_id"), (F.count("*") - 1).alias("n_copies"))
     return whole.join(continued, ["n", *_SEEDS], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
 
 
@@ -70,7 +81,8 @@ def render(conversations: DataFrame, kept: DataFrame) -> DataFrame:
     """The kept conversations (conv_id, ...) with their turns as ChatML. Their texts are shuffled once: parts are joined first, then the few parts of each."""
     safe = lambda c: F.replace(F.replace(c, F.lit(OPEN), F.lit("<|\u200bim_start|>")), F.lit(CLOSE), F.lit("<|\u200bim_end|>"))
     line = lambda t: F.concat(F.lit(OPEN), safe(t["role"]), F.lit("\n"), safe(t["text"]), F.lit(CLOSE + "\n"))
-    own = _cleaned(conversations).join(kept.select("conv_id"), "conv_id", "left_semi")
+    part = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))
+    own = _cleaned(conversations).join(kept.select("conv_id"), "conv_id", "left_semi").withColumn("part", part)
     parts = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     blocks = parts.select("conv_id", "part", F.array_join(F.transform("turns", line), "").alias("text"))
     texts = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts")).select("conv_id", F.array_join(F.col("parts.text"), "").alias("rendered"))
@@ -80,7 +92,7 @@ def render(conversations: DataFrame, kept: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the maximal conversations, rendered."""
     conversations = table(spark, sf_dir, "conversations")
-    return render(conversations, maximal(positions(conversations))).select("conv_id", "n_turns", "n_copies", "rendered")
+    return render(conversations, checkpointed(maximal(positions(conversations)))).select("conv_id", "n_turns", "n_copies", "rendered")
 
 
 ORACLE = """

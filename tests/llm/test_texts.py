@@ -226,3 +226,43 @@ def test_chat_snapshots(spark):
     assert [int(x[1:]) for x in re.findall(r"\n(t\d+)<", out[9].rendered)] == list(range(3_000))
     empty = df.limit(0)
     assert chat.render(empty, chat.maximal(chat.positions(empty))).collect() == []
+
+
+def brute_chat(rows):
+    """(conv_id, n_turns, n_copies, rendered) in plain Python."""
+    turns = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns.setdefault(conv, set()).add((turn is not None, turn or 0, role if role is not None else "unknown", text or ""))
+    told = {c: [x[2:] for x in sorted(t)] for c, t in turns.items()}
+    out = []
+    for c, own in told.items():
+        same = sorted(d for d, x in told.items() if x == own)
+        if same[0] == c and not any(len(x) > len(own) and x[: len(own)] == own for x in told.values()):
+            safe = [[x.replace(m, m.replace("<|", "<|​")) for m in ("<|im_start|>",)][0].replace("<|im_end|>", "<|​im_end|>") for r, t in own for x in (r, t)]
+            out.append((c, len(own), len(same) - 1, "".join(f"<|im_start|>{safe[i]}\n{safe[i + 1]}<|im_end|>\n" for i in range(0, len(safe), 2))))
+    return sorted(out)
+
+
+def chats(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    kept = chat.maximal(chat.positions(df))
+    return sorted((r.conv_id, r.n_turns, r.n_copies, r.rendered) for r in chat.render(df, kept).collect())
+
+
+def test_chat_turns_of_one_number_are_in_order_of_their_texts(spark):
+    rows = [(2 * i, 0, "user", f"a{i * 7919 % 1000}") for i in range(40)] + [(2 * i, 0, "user", f"b{i * 31 % 1000}") for i in range(40)] + [(2 * i + 1, 0, "user", f"b{i * 31 % 1000}") for i in range(40)]
+    got = chats(spark, rows)
+    assert len(got) == 80 and got == brute_chat(rows)
+
+
+def test_chat_long_conversations_without_turn_numbers(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    rnd = random.Random(3)
+    long = [(1, None, "user", f"t{i:04d}") for i in range(300)] + [(2, None, "user", f"t{i:04d}") for i in range(100)] + [(3, None, "user", f"t{i:04d}") for i in range(1, 90)]
+    numbered = [(4, i, rnd.choice(["user", None]), rnd.choice(["x", "<|im_start|>", None, ""])) for i in range(200)]
+    more = [(5, t, r, x) for _, t, r, x in numbered if t < 70] + [(6, t, r, x) for _, t, r, x in numbered if t < 70] + [(7, t + 5 if t == 69 else t, r, x) for _, t, r, x in numbered if t < 70]
+    rows = long + numbered + more + rnd.sample(long, 50) + [(None, 1, "user", "x")]
+    rnd.shuffle(rows)
+    got = chats(spark, rows)
+    assert [x[:3] for x in got] == [x[:3] for x in brute_chat(rows)] and got == brute_chat(rows)
