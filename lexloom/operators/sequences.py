@@ -1,11 +1,14 @@
 """Ordered rows: gap groups, runs, fills, segments, and folds that depend on their own decisions.
 
-What a window can express is a window. Folds whose next step depends on the last decision run per key as a grouped
-Arrow function over sorted rows; their keys are lines or sources, and a key's rows are read in order.
+What a window can express is a window. Folds whose next step depends on the last decision read a key's rows in order,
+as a stream (see folds.py); only merge_fold holds a key, which is a line.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def _window(keys: list[str], order: list):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -31,19 +36,21 @@ def gap_groups(rows: DataFrame, keys: list[str], order: list, position: Column,
 def gap_groups_2d(rows: DataFrame, keys: list[str], order: str, x: str, y: str, threshold: float, name: str = "group_no") -> DataFrame:
     """The same in the plane: a point farther than the threshold from every member of the current group begins a new one."""
 
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        points = group[[x, y]].to_numpy(float)
-        numbers, start = np.zeros(len(points), np.int32), 0
-        for i in range(1, len(points)):
-            near = np.sqrt(((points[start:i] - points[i]) ** 2).sum(axis=1)).min()
-            if near > threshold:
-                start = i
-            numbers[i] = numbers[i - 1] + (start == i)
-        return group.assign(**{name: numbers})
+    def begin() -> Callable[[float, float], int]:
+        members: list[tuple[float, float]] = []
+        number = 0
 
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(split, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + f", {name} int")
+        def step(px: float, py: float) -> int:
+            nonlocal number
+            if members and not any(math.hypot(px - a, py - b) <= threshold for a, b in reversed(members)):
+                members.clear()
+                number += 1
+            members.append((px, py))
+            return number
+
+        return step
+
+    return folded(rows, keys, [order], [x, y], name, "int", begin)
 
 
 def segments(rows: DataFrame, keys: list[str], order: list, starts: Column, text: Column) -> DataFrame:
@@ -161,39 +168,41 @@ def page_numbers(numbers: Column, heads: Column, low: int = 0, high: int = 999,
 def in_alphabetical_order(rows: DataFrame, keys: list[str], order: str, head: str, last: int = 5, ahead: int = 4) -> DataFrame:
     """Rows whose first letter is plausible: between the least of the last accepted letters of its key and `ahead` letters after the greatest."""
 
-    def accept(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        recent: list[str] = []
-        kept = []
-        for h in group[head]:
-            letter = h[:1]
-            ok = not recent or min(recent) <= letter <= chr(ord(max(recent)) + ahead)
-            kept.append(ok)
-            if ok:
-                recent = [*recent, letter][-last:]
-        return group[kept]
+    def begin() -> Callable[[str | None], bool]:
+        window: deque[int] = deque(maxlen=last)
+        lowest, highest = 0, sys.maxunicode
 
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(accept, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns))
+        def step(word: str | None) -> bool:
+            nonlocal lowest, highest
+            letter = ord(word[0]) if word else 0
+            if letter < lowest or letter > highest:
+                return False
+            window.append(letter)
+            lowest, highest = min(window), max(window) + ahead
+            return True
+
+        return step
+
+    return folded(rows, keys, [order], [head], "__plausible", "boolean", begin).where("__plausible").drop("__plausible")
 
 
 def text_lines(words: DataFrame, keys: list[str], x: str, y: str, tolerance: float) -> DataFrame:
     """words with line_no: words by y join the line whose running mean is within the tolerance, else begin one; lines are read left to right."""
 
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([y, x], kind="stable")
-        numbers, mean, n, number = [], None, 0, -1
-        for v in group[y].to_numpy(float):
-            if mean is None or abs(v - mean) > tolerance:
-                mean, n, number = v, 1, number + 1
-            else:
-                n += 1
-                mean += (v - mean) / n
-            numbers.append(number)
-        return group.assign(line_no=numbers)
-
-    kinds = dict(words.dtypes)
-    return words.groupBy(*keys).applyInPandas(cluster, ", ".join(f"`{c}` {kinds[c]}" for c in words.columns) + ", line_no int")
+    def begin() -> Callable[[float], int]:
+        number, n, mean = -1, 0, 0.0
+
+        def step(at: float) -> int:
+            nonlocal number, n, mean
+            if number < 0 or abs(at - mean) > tolerance:
+                number, n, mean = number + 1, 0, 0.0
+            n += 1
+            mean += (at - mean) / n
+            return number
+
+        return step
+
+    return folded(words, keys, [y, x], [y], "line_no", "int", begin)
 
 
 def dehyphenated(text: Column) -> Column:

@@ -61,7 +61,14 @@ def gap_valley_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "method").agg((F.max("session") + 1).alias("n_sessions"), F.count("*").alias("n"))
 
 
-@query("gap_groups_2d")
+@query(
+    "gap_groups_2d",
+    f"""WITH RECURSIVE {EVENTS}, p AS (SELECT user_id, us / 3600000000 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY us, value) AS i FROM ev),
+    f AS (SELECT user_id, i, 0 AS g, [{{'x': x, 'y': y}}] AS m FROM p WHERE i = 1
+      UNION ALL SELECT user_id, i, g + far::INT, CASE WHEN far THEN [{{'x': x, 'y': y}}] ELSE list_append(m, {{'x': x, 'y': y}}) END
+        FROM (SELECT f.user_id, p.i, g, m, p.x, p.y, list_min(list_transform(m, lambda q: sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)))) > 20 AS far FROM f JOIN p ON p.user_id = f.user_id AND p.i = f.i + 1))
+    SELECT user_id, max(g) + 1 AS n_groups, count(*) AS n FROM f GROUP BY user_id""",
+)
 def gap_groups_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("user_id", (F.col("us") / MINUTE / 60).alias("x"), F.col("value").alias("y"), "event_id")
     return S.gap_groups_2d(rows, ["user_id"], "x", "x", "y", 20.0).groupBy("user_id").agg((F.max("group_no") + 1).alias("n_groups"), F.count("*").alias("n"))
@@ -192,9 +199,10 @@ def page_map_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mapped_with_offset(nation.select("n_nationkey"), exceptions, "n_nationkey", "v", 7)
 
 
-@query("anti_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000)")
 def anti_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers that have no large finished order yet."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 
@@ -211,11 +219,11 @@ def integrity_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "exact_set_join",
-    """WITH a AS (SELECT l_orderkey AS k, string_agg(DISTINCT l_suppkey::VARCHAR, '+' ORDER BY l_suppkey::VARCHAR) AS s FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey)
+    """WITH a AS (SELECT l_orderkey AS k, string_agg(DISTINCT l_suppkey::VARCHAR, '+' ORDER BY l_suppkey::VARCHAR) AS s FROM lineitem GROUP BY l_orderkey)
     SELECT x.k AS a, min(y.k) AS b FROM a x JOIN a y ON x.s = y.s AND x.k <> y.k GROUP BY x.k""",
 )
 def exact_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), "+").alias("s"))
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), "+").alias("s"))
     # the two smallest members of each set of copies answer for all of them, so a common set needs no join with itself
     firsts = sets.groupBy("s").agg(F.min("k").alias("k1"), F.count("*").alias("n")).where("n > 1")
     seconds = sets.join(firsts, "s").where("k > k1").groupBy("s").agg(F.min("k").alias("k2"))
@@ -242,18 +250,30 @@ def width_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.width_batches(rows, ["source"], "doc_id", "n_chars", 16, 60_000).groupBy("source").agg((F.max("batch") + 1).alias("n_batches"), F.count("*").alias("n"))
 
 
-@query("bucketed_batches")
+_POOL = "pool::VARCHAR || '/' || batch::VARCHAR"
+
+
+def _uniform(key: str, seed: int | str) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || ({key})::VARCHAR), 1, 13))::BIGINT / {2**52}::DOUBLE)"
+
+
+@query("bucketed_batches", f"WITH p AS (SELECT doc_id, n_chars, floor({_uniform('doc_id', 0)} * greatest(1, ceil((SELECT count(*) FROM documents) / 128)))::BIGINT AS pool FROM documents), b AS (SELECT doc_id, pool, (row_number() OVER (PARTITION BY pool ORDER BY n_chars, doc_id) - 1) // 16 AS batch FROM p) SELECT *, {_uniform(_POOL, 1)} AS place FROM b")
 def bucketed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.bucketed_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 16, 8)
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"SELECT doc_id, source FROM documents ORDER BY {_uniform('doc_id', 7)}, doc_id LIMIT 100")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 100 documents without replacement."""
     return O.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id"), 100, 7)
 
 
-@query("weighted_sample")
+@query(
+    "weighted_sample",
+    f"""WITH r AS (SELECT doc_id, n_chars::DOUBLE AS w, floor({_uniform('doc_id', 'bucket')} * 256) AS bucket FROM documents WHERE n_chars > 0),
+    l AS (SELECT doc_id, w, sum(w) OVER (ORDER BY bucket, doc_id) AS hi FROM r), d AS (SELECT range AS draw, {_uniform('range', 7)} * (SELECT sum(w) FROM r) AS u FROM range(100))
+    SELECT draw, doc_id FROM d JOIN l ON u >= hi - w AND u < hi""",
+)
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of 100 documents without replacement, in proportion to their lengths."""
-    return O.weighted_sample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("doc_id"), F.col("n_chars").cast("double"), 100, 7).select("doc_id")
+    """100 draws of documents with replacement, in proportion to their lengths."""
+    return O.weighted_sample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 100, 7)
