@@ -7,7 +7,8 @@ solved there. As features and regression are linear in the landmark kernels, a t
 over a batch of texts at a time.
 
 Only documents whose crc32(doc_id as text) mod 3 is not 1 and whose lang is not null teach, and of them a bounded
-sample, equally many of each language (SAMPLE_DOCS in all), chosen by a hash of the id. Whole texts are scored; there
+sample, equally many of each language (SAMPLE_OF_EACH, SAMPLE_DOCS in all; of more languages than that, those with most
+documents), those with the smallest hashes of the id. Whole texts are scored; there
 is no shuffle but for the counts by language, and a lost task is simply run again.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if there is nothing to
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fields, pieces, table
@@ -123,15 +124,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from a sample of the documents that may teach."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND crc32(id) % 3 <> 1")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
     if not counts:
         return None
     each = max(1, min(each, sample // len(counts)))
-    # a hash below the bound leaves 1.3 times as many as are wanted, on average
-    bounds = [(x, int(2**63 * (2 * min(1.0, 1.3 * each / n) - 1))) for x, n in sorted(counts.items())]
-    low = F.lit(False)
-    for x, bound in bounds:
-        low = low | ((F.col("lang") == x) & (F.col("hash") < min(bound, 2**63 - 1)))
+    # a hash below the bound leaves 1.3 times as many as are wanted, on average; the smallest of those are taken below
+    bounds = [(x, min(int(2**63 * (2 * min(1.0, 1.3 * each / n) - 1)), 2**63 - 1)) for x, n in sorted(counts.items())]
+    low = rows.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _limited(batches, "text"):
@@ -140,13 +139,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             own = [x.tobytes() if ok else None for x, ok in zip(packed, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array(own, pa.binary())], ["lang", "hash", "bits"])
 
-    found = rows.select("lang", F.xxhash64("id").alias("hash"), "text").where(low).mapInArrow(task, "lang string, hash bigint, bits binary").where("bits IS NOT NULL").limit(2 * each * len(counts)).toArrow()
+    near = rows.withColumn("hash", F.xxhash64("id")).join(F.broadcast(low), "lang").where("hash < bound")
+    packed = near.select("lang", "hash", "text").mapInArrow(task, "lang string, hash bigint, bits binary").where("bits IS NOT NULL")
+    # each task passes on at most `each` of a language
+    found = packed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "bits"))).where(F.col("place") <= each).toArrow()
     order = sorted(zip(found["lang"].to_pylist(), found["hash"].to_pylist(), found["bits"].to_pylist(), strict=True))
-    taken: dict[str, list[bytes]] = {}
-    for lang, _, bits in order:
-        if len(own := taken.setdefault(lang, [])) < each:
-            own.append(bits)
-    return train([b for own in taken.values() for b in own], [x for x, own in taken.items() for _ in own])
+    return train([x[2] for x in order], [x[0] for x in order])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -2,8 +2,9 @@
 
 Each line with a word is described by indicator features (FEATURES: symbol, capital, digit and pipe shares, length,
 repetition). The CRF has two states, a weight for each feature and state change; it is trained here by
-gradient ascent with a prior, on a bounded sample of labelled documents (SAMPLE_DOCS, SAMPLE_LINES): lines of good
-documents are content; lines of bad ones start as boilerplate and are relabelled once by the model's own decoding.
+gradient ascent with a prior, on a bounded sample of labelled documents: SAMPLE_DOCS of each quality by the smallest
+hashes, cut into runs of RUN_LINES lines, and of these SAMPLE_RUNS of each document by the smallest hashes, wherever in
+the text they are (documents of up to 256 lines teach whole); documents that the base rules reject teach nothing. Lines of good documents are content; lines of bad ones start as boilerplate and are relabelled once by the model's own decoding.
 With no labelled rows, the prior is the model. A document is kept if content lines hold at least KEEP_SHARE of its
 words and the base rules hold.
 
@@ -27,8 +28,8 @@ from pyspark.sql.types import StructField
 from .common import BASE, byte_pieces, fields, hash_ranges, list_array, mix, table
 
 PIECE_BYTES = 2_000_000
-#: The training sample: documents, and lines of each.
-SAMPLE_DOCS, SAMPLE_LINES = 1_000, 48
+#: The training sample: documents of each quality, and runs of lines of each document.
+SAMPLE_DOCS, RUN_LINES, SAMPLE_RUNS = 1_500, 64, 4
 KEEP_SHARE = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -48,6 +49,7 @@ FEATURES = {
     "repeats an earlier line": 1.0,
     "short words": 0.1,
     "long words": 0.1,
+    "none of the marks above": -1.0,
 }
 #: The prior weight of staying in a state.
 STAY = 0.5
@@ -136,9 +138,12 @@ class Stats:
         symbol, capital, digit = (symbols[full_ends] - symbols[full_starts]) / np.maximum(chars, 1), share(kinds == 2, letters), share(kinds == 4, chars)
         pipe, cry = share(data == ord("|"), chars), share(kinds == 5, chars)
         mean = chars / np.maximum(self.words, 1)
-        self.features = np.column_stack(
-            [np.ones(len(self.full), bool), symbol > 0.02, symbol > 0.08, capital > 0.4, capital > 0.8, digit > 0.3, pipe > 0.02, cry > 0.04, self.words < 3, self.words < 8, self.words > 30, again, mean < 3, mean > 12]
-        )
+        marks = [symbol > 0.02, symbol > 0.08, capital > 0.4, capital > 0.8, digit > 0.3, pipe > 0.02, cry > 0.04]
+        plain = ~(again | np.any(marks, axis=0))
+        self.features = np.column_stack([np.ones(len(self.full), bool), *marks, self.words < 3, self.words < 8, self.words > 30, again, mean < 3, mean > 12, plain])
+
+    def base_failed(self) -> np.ndarray:
+        return (self.n_words < MIN_WORDS) | (100 * self.n_repeat_words > MAX_REPEAT_PERCENT * self.n_words)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, stay: np.ndarray) -> np.ndarray:
@@ -243,7 +248,7 @@ def label_lines(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
             state = model.decode(x.features, np.bincount(x.doc, minlength=n))
             content = np.bincount(x.doc[state == 0], weights=x.words[state == 0], minlength=n)
             share = content / np.maximum(x.n_words, 1)
-            failed = (x.n_words < MIN_WORDS) | (100 * x.n_repeat_words > MAX_REPEAT_PERCENT * x.n_words)
+            failed = x.base_failed()
             labels = np.full(int(x.lines.sum()), -1, np.int8)
             labels[x.full] = 1 - state
             counts = [pa.array(c, pa.int64()) for c in (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words)]
@@ -256,33 +261,56 @@ def label_lines(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, fields([StructField("id", docs.schema[id_col].dataType)], schema)).withColumnRenamed("id", id_col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Crf:
-    """A CRF from at most `sample` documents of each quality, SAMPLE_LINES lines of each; the smallest hashes are taken."""
+def _runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines teach, and the lengths of their runs. counts: lines of each document."""
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    runs = -(-counts // RUN_LINES)
+    first = np.cumsum(runs) - runs
+    number = np.arange(int(runs.sum())) - np.repeat(first, runs)
+    # of the runs of a document those with the smallest hashes of their numbers
+    document = np.repeat(np.arange(len(counts)), runs)
+    order = np.lexsort((mix(number.astype(np.uint64) + BASE), document))
+    taken = np.zeros(len(order), bool)
+    taken[order] = np.arange(len(order)) - first[document] < SAMPLE_RUNS
+    sizes = np.minimum(RUN_LINES, np.repeat(counts, runs) - number * RUN_LINES)
+    return taken[np.repeat(first, counts) + place // RUN_LINES], sizes[taken]
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
+    """(doc_id, quality, sizes, lines): the features of the lines that teach, as bits; of rows that share an id the one with the least lines counts."""
     rows = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = None
     for value in (0, 1):
-        some = rows.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        some = rows.where(F.col("quality") == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionAll(some)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in byte_pieces(batches, "text", PIECE_BYTES):
             x, n = Stats(data, offsets), batch.num_rows
             counts = np.bincount(x.doc, minlength=n)
-            place = np.arange(len(x.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-            taken = place < SAMPLE_LINES
-            kept = np.minimum(counts, SAMPLE_LINES)
-            codes = x.features[taken] @ (1 << np.arange(x.features.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), list_array(np.concatenate(([0], np.cumsum(kept))), codes, pa.int32())], ["quality", "lines"])
-
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.distinct()), "doc_id").select("quality", "text").mapInArrow(task, "quality int, lines array<int>").toArrow()
-    good = np.array(found["quality"].to_pylist(), np.int64) == 1
-    lines = [np.array(x, np.int64) for x in found["lines"].to_pylist()]
-    some = [i for i, x in enumerate(lines) if len(x)]
-    if not some:
+            taken, sizes = _runs(counts)
+            codes = x.features[taken].astype(np.int64) @ (1 << np.arange(x.features.shape[1]))
+            at = lambda per: np.concatenate(([0], np.cumsum(per)))
+            runs = np.minimum(-(-counts // RUN_LINES), SAMPLE_RUNS)
+            lines = np.add.reduceat(np.append(sizes, 0), at(runs)[:-1]) * (runs > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x.base_failed()), list_array(at(runs), sizes, pa.int32()), list_array(at(lines), codes, pa.int32())], ["doc_id", "quality", "failed", "sizes", "lines"])
+
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    kind = StructField("doc_id", texts.schema["doc_id"].dataType)
+    found = texts.mapInArrow(task, fields([kind], "quality int, failed boolean, sizes array<int>, lines array<int>"))
+    return found.where("NOT failed").groupBy("doc_id", "quality").agg(F.min(F.struct("lines", "sizes")).alias("x")).select("doc_id", "quality", "x.sizes", "x.lines")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Crf:
+    """A CRF from the sample."""
+    found = sample(docs, labels, most).orderBy("doc_id", "quality").toArrow()
+    flat = lambda c: found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths, codes = flat("sizes"), flat("lines")
+    if not len(lengths):
         return Crf()
-    lengths = np.array([len(lines[i]) for i in some], np.int64)
-    features = ((np.concatenate([lines[i] for i in some])[:, None] >> np.arange(len(FEATURES))) & 1).astype(float)
-    return Crf().fit(features, lengths, good[some])
+    runs = np.array([len(x) for x in found["sizes"].to_pylist()], np.int64)
+    good = np.repeat(np.array(found["quality"].to_pylist(), np.int64) == 1, runs)
+    return Crf().fit(((codes[:, None] >> np.arange(len(FEATURES))) & 1).astype(float), lengths, good)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
