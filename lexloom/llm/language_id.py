@@ -162,6 +162,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     return docs.mapInArrow(task, fields([docs.schema[c] for c in rest], "lang_pred string, score double"))
 
 
+def known(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = MIN_SCORE) -> DataFrame:
+    """The rows of `docs` whose text is of a learned language with at least that score. Rows go to the Python worker and back once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _limited(batches, text_col):
+            langs, score = model.predict([x or "" for x in texts]) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
+            yield batch.filter(pa.array((np.array(langs, object) != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the language of every whole text."""
     docs = table(spark, sf_dir, "documents")

@@ -239,21 +239,26 @@ class Crf:
         return slope, change
 
 
+def _judged(x: Stats, model: Crf, n: int, keep_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States of the lines, content share of each document, and whether it is kept."""
+    state = model.decode(x.features, np.bincount(x.doc, minlength=n))
+    content = np.bincount(x.doc[state == 0], weights=x.words[state == 0], minlength=n)
+    share = content / np.maximum(x.n_words, 1)
+    return state, share, ~x.base_failed() & (share >= keep_share)
+
+
 def label_lines(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
     """Counts and verdict of each document, its content share, and line_labels: 1 content, 0 boilerplate, -1 blank, for each line."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in byte_pieces(batches, "text", PIECE_BYTES):
-            x, n = Stats(data, offsets), batch.num_rows
-            state = model.decode(x.features, np.bincount(x.doc, minlength=n))
-            content = np.bincount(x.doc[state == 0], weights=x.words[state == 0], minlength=n)
-            share = content / np.maximum(x.n_words, 1)
-            failed = x.base_failed()
+            x = Stats(data, offsets)
+            state, share, kept = _judged(x, model, batch.num_rows, keep_share)
             labels = np.full(int(x.lines.sum()), -1, np.int8)
             labels[x.full] = 1 - state
             counts = [pa.array(c, pa.int64()) for c in (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *counts, pa.array(failed), pa.array(~failed & (share >= keep_share)), pa.array(share), list_array(np.concatenate(([0], np.cumsum(x.lines))), labels, pa.int8())],
+                [batch.column("id"), *counts, pa.array(x.base_failed()), pa.array(kept), pa.array(share), list_array(np.concatenate(([0], np.cumsum(x.lines))), labels, pa.int8())],
                 ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "line_labels"],
             )
 
@@ -261,6 +266,16 @@ def label_lines(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, fields([StructField("id", docs.schema[id_col].dataType)], schema)).withColumnRenamed("id", id_col)
 
 
+def good(docs: DataFrame, model: Crf, text_col: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The rows of `docs` that are kept. Rows go to the Python worker and back once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in byte_pieces(batches, text_col, PIECE_BYTES):
+            yield batch.filter(pa.array(_judged(Stats(data, offsets), model, batch.num_rows, keep_share)[2]))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def _runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which lines teach, and the lengths of their runs. counts: lines of each document."""
     place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)

@@ -1,11 +1,13 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint is cut into two segments of 32 bits, so that of two fingerprints at most two bits apart, one segment
-differs by at most one bit. Each distinct fingerprint is indexed under the 64 variants of its segments with one bit
+A fingerprint is cut into two segments of 32 bits, so that of two fingerprints at most two (or three) bits apart, one
+segment differs by at most one bit; for five bits into three. Each distinct fingerprint is indexed under the 64 variants of its segments with one bit
 as a wildcard; fingerprints that share a variant are verified. Within the bucket of a variant no list of all pairs
 is made: a small bucket is searched breadth first, a larger one by sorting the variants with one or two further
 wildcards (members that agree there are at most two bits apart), and one of over MOST_MEMBERS is dealt out again by
-those further variants, of which none has more than four members. Every way is exact; each emits a spanning forest.
+those further variants, of which none has more than four members. For more than two bits, a larger bucket is indexed
+by the halves of its other bits with further wildcards, and is held by one task, eight bytes a member. Every way is
+exact; each emits a spanning forest.
 
 Equal fingerprints are joined before (a class of copies is one fingerprint), components are found by star contraction
 of the links, and both the fingerprints and each round of links are checkpointed in the shared folder.
@@ -18,6 +20,7 @@ than the id and the text are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -72,20 +75,28 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
 
 
-def variants(fp: str) -> F.Column:
+def segments(bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of as few segments that of fingerprints at most `bits` apart one segment differs by at most one bit."""
+    many = bits // 2 + 1
+    ends = [64 * k // many for k in range(many + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def variants(fp: str, bits: int = MOST_BITS) -> F.Column:
     """The 64 keys of a fingerprint: number of the wildcard bit (0 to 63) above its segment with that bit cleared."""
-    return F.expr(f"transform(sequence(0, 63), i -> (shiftrightunsigned({fp}, 32 * (i div 32)) & 4294967295 & ~shiftleft(1L, i % 32)) | shiftleft(cast(i as bigint), 32))")
+    parts = [(F.shiftrightunsigned(fp, first), width, first) for first, width in segments(bits)]
+    return F.array(*(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i)).cast("bigint")).bitwiseOR(F.lit(first + i << 32)) for part, width, first in parts for i in range(width)))
 
 
-def _breadth_first(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a spanning forest of the members at most MOST_BITS apart."""
+def _breadth_first(fps: np.ndarray, bits: int = MOST_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest of the members at most so many bits apart."""
     links, rest = [], fps
     queue: list[np.ndarray] = []
     while len(rest):
         at = queue.pop() if queue else None
         if at is None:
             at, rest = rest[0], rest[1:]
-        near = np.bitwise_count(rest ^ at) <= MOST_BITS
+        near = np.bitwise_count(rest ^ at) <= bits
         if near.any():
             found = rest[near]
             links.append((np.full(len(found), at), found))
@@ -119,8 +130,36 @@ def _sorted_links(fps: np.ndarray, wildcard: int) -> list[tuple[np.ndarray, np.n
     return links
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, some: int = SOME) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets. keys: in order, equal for the members of a bucket."""
+def _indexed_links(fps: np.ndarray, wildcard: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a large bucket: the bits outside its segment are cut in two, one of which differs by at most half of `bits`; members that agree there but for so many bits are compared."""
+    first, width = next(x for x in segments(bits) if x[0] <= wildcard < sum(x))
+    other = [b for b in range(64) if not first <= b < first + width]
+    links = []
+    for half in (other[: len(other) // 2], other[len(other) // 2 :]):
+        for ignored in combinations(half, bits // 2):
+            key = fps & np.uint64(sum(1 << b for b in half) & ~sum(1 << b for b in ignored))
+            order = np.argsort(key)
+            links += _pairs(key[order], fps[order], bits)[1]
+    return links
+
+
+def _own_wildcard(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The wildcard bit of the variant that tells a pair: in the first segment that differs by at most one bit, the bit that differs, or the first one."""
+    out, open_ = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for first, width in segments(bits):
+        differ = (a ^ b) >> np.uint64(first) & np.uint64((1 << width) - 1)
+        here = open_ & (np.bitwise_count(differ) <= 1)
+        out[here] = first + np.log2(np.maximum(differ[here], 1).astype(float)).astype(np.int64)
+        open_ &= ~here
+    return out
+
+
+def _pairs(keys: np.ndarray, fps: np.ndarray, bits: int, most: int | None = None) -> tuple[np.ndarray, list]:
+    """Links within buckets of more than FEW members, and all pairs of smaller ones. keys: in order, equal for the members of a bucket.
+
+    most: the keys are those of variants, each pair of a small bucket is told by one of its variants only, and buckets
+    of more members are left out; where they begin and end is told.
+    """
     cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
     sizes = np.diff(cuts)
     size = np.repeat(sizes, sizes)
@@ -128,26 +167,33 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, some: int = SOME) -> tuple[n
     k, f = keys[few], fps[few]
     links = []
     for shift in range(1, FEW):
-        near = (k[shift:] == k[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= MOST_BITS)
-        # each pair is told once: by the variant of its differing bit, or the first one, in the first segment that may differ by one bit
-        a, b, own = f[:-shift][near], f[shift:][near], (k[:-shift][near] >> 32).astype(np.int64)
-        differ = a ^ b
-        low, high = differ & LOW, differ >> np.uint64(32)
-        first = np.where(np.bitwise_count(low) <= 1, low, high)
-        place = np.where(first > 0, np.log2(np.maximum(first, 1).astype(float)).astype(np.int64), 0) + 32 * (np.bitwise_count(low) > 1)
-        once = own == place
+        near = (k[shift:] == k[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= bits)
+        a, b = f[:-shift][near], f[shift:][near]
+        once = np.ones(len(a), bool) if most is None else (k[:-shift][near] >> 32).astype(np.int64) == _own_wildcard(a, b, bits)
         links.append((a[once], b[once]))
+    large = np.zeros(0, np.int64)
     for i in np.flatnonzero(sizes > FEW):
-        own = fps[cuts[i] : cuts[i + 1]]
-        links += _breadth_first(own) if len(own) <= some else _sorted_links(own, int(keys[cuts[i]] >> 32))
+        if most is not None and sizes[i] > most:
+            large = np.append(large, i)
+        else:
+            links += _breadth_first(fps[cuts[i] : cuts[i + 1]], bits)
+    return np.column_stack((cuts[large], cuts[large + 1])) if len(large) else np.zeros((0, 2), np.int64), links
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, some: int = SOME, bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the buckets of variants. keys: in order, equal for the members of a bucket."""
+    large, links = _pairs(keys, fps, bits, some)
+    for a, b in large.tolist():
+        wildcard = int(keys[a] >> 32)
+        links += _sorted_links(fps[a:b], wildcard) if bits == 2 else _indexed_links(fps[a:b], wildcard, bits)
     if not links:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
 
 
-def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS, files: int = 4) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of the distinct fingerprints `fp` at most two bits apart."""
-    indexed = fps.select("fp", F.explode(variants("fp")).alias("key")).repartition("key").sortWithinPartitions("key")
+def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS, files: int = 4, bits: int = MOST_BITS) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of the distinct fingerprints `fp` at most `bits` apart."""
+    indexed = fps.select("fp", F.explode(variants("fp", bits)).alias("key")).repartition("key").sortWithinPartitions("key")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
@@ -170,15 +216,15 @@ def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS, files
             over = None
             keys, own = np.concatenate((held_keys, keys)), np.concatenate((held, own))
             last = int(np.searchsorted(keys, keys[-1], side="left"))
-            a, b = bucket_links(keys[:last], own[:last], some)
+            a, b = bucket_links(keys[:last], own[:last], some, bits)
             if len(a):
                 yield told(a, b)
             held_keys, held = keys[last:], own[last:]
-            if len(held) > most:
+            if bits == 2 and len(held) > most:
                 over = held_keys[0]
                 yield deferred(held_keys, held)
                 held_keys, held = held_keys[:0], held[:0]
-        a, b = bucket_links(held_keys, held, some)
+        a, b = bucket_links(held_keys, held, some, bits)
         if len(a):
             yield told(a, b)
 
@@ -193,13 +239,13 @@ def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS, files
     return links.unionAll(again.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 3)).alias("b")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, some: int = SOME, most: int = MOST_MEMBERS) -> DataFrame:
-    """(id_col, fp, component_id): a row for each row of docs; component_id is the smallest id reachable by links."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, some: int = SOME, most: int = MOST_MEMBERS, bits: int = MOST_BITS) -> DataFrame:
+    """(id_col, fp, component_id): a row for each row of docs; component_id is the smallest id reachable by links of at most `bits` differing bits."""
     own = checkpointed(simhash(docs, id_col, text_col, words))
     classes = own.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
     total = own.count()
     files = 4 + total // 500_000
-    linked = components(near_links(classes, some, most, files), "a", "b", files)
+    linked = components(near_links(classes, some, most, files, bits), "a", "b", files)
     nodes = linked.unionAll(linked.select("root", "root").distinct())
     member = nodes.join(classes.select(F.col("fp").alias("node"), "first"), "node")
     lowest = member.groupBy("root").agg(F.min("first").alias("lowest"))
