@@ -3,6 +3,11 @@
 run(spark, sf_dir) applies STAGES to the table `documents`; each stage's rows are written as Parquet into the folder
 that the cluster shares and read again as the next one's documents, so that a lost executor costs one stage at most.
 All stages but the last return the columns of the documents that they keep.
+
+Defined results: a null or empty text, or one without a letter, is rejected by the first stage, one of under ten words
+by the second; a null language, source or id rejects nothing; of equal texts, and of rows that repeat, one row stays,
+that with the smallest id (null last), then the least text key, then the first row as JSON; texts of any length are
+read whole; other columns, whatever their names and types, go with their rows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,26 +18,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import language_id, packing, quality_rules, simhash
-from lexloom.llm.common import shared_folder, table
-
+from lexloom.llm.common import checkpointed, shared_folder, table
 
-def _filtered(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose whole row `kept` returned, with their own columns."""
-    return kept.select("row.*").select(*docs.columns)
+#: Bits in which fingerprints of near-duplicates may differ: with 59 of 64 equal, texts differ in a few words of a hundred.
+NEAR_BITS = 5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or of no known language."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = language_id.predict(rows, language_id.fit(docs))
-    return _filtered(docs, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE)))
+    return language_id.known(docs, language_id.fit(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or hold mostly boilerplate."""
-    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return _filtered(docs, quality_rules.label_lines(rows, model, id_col="row").where("kept"))
+    return quality_rules.good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def _text_keys(text: str) -> list[Column]:
@@ -43,23 +42,23 @@ def _text_keys(text: str) -> list[Column]:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the smallest doc_id, null last.
 
-    A document is told by its id and its text, so that ids may be null or repeat: rows with both in common are in one
+    Fingerprints are those of op9 and link at NEAR_BITS. A document is told by its id and its text, so that ids may be null or repeat: rows with both in common are in one
     group. Of texts that share the smallest id the one with the smallest key stays, of rows that share both the least row.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *_text_keys("text"))
-    found = simhash.near_duplicates(docs.select(key.alias("document"), "text"), id_col="document")
-    # the name of a group is the key of one of its documents
-    first = found.select("component_id.*").distinct()
-    names = ["doc_id", "__h1", "__h2"]
-    own = docs.select("*", *_text_keys("text"))
+    found = simhash.near_duplicates(docs.select(key.alias("document"), "text"), id_col="document", bits=NEAR_BITS)
+    # the name of a group is the key of one of its documents; only such keys are counted, no texts
+    named = found.where(F.col("document").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count("*").alias("n"))
+    first = checkpointed(named.select("component_id.*", "n"))
+    names, own = ["doc_id", "__h1", "__h2"], docs.select("*", *_text_keys("text"))
     same = lambda other: [own["doc_id"].eqNullSafe(other["doc_id"]), own["__h1"] == other["__h1"], own["__h2"] == other["__h2"]]
-    kept = own.join(first, same(first), "left_semi")
-    twice = kept.groupBy(*names).count().where("count > 1").select(*names)
+    once, twice = first.where("n = 1"), first.where("n > 1")
+    kept = own.join(once, same(once), "left_semi").select(*docs.columns)
     if twice.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(twice, same(twice), "left_anti").select(*docs.columns)
-    repeated = kept.join(twice, same(twice), "left_semi").groupBy(*names).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.unionAll(_filtered(docs, repeated))
+        return kept
+    row = F.struct(*docs.columns)
+    least = own.join(twice, same(twice), "left_semi").groupBy(*names).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.unionAll(least.select("row.*").select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +73,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No stage but the base rules can be told in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: No stage but the base rules can be told in SQL; tests/llm/test_models.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
