@@ -254,7 +254,7 @@ def test_pipeline_keeps_what_plain_code_keeps(spark, sf_dir):
         content = crf.decode(features, np.array([len(words)])) == 0
         if n_words >= 10 and 100 * repeated <= 20 * n_words and sum(w for w, c in zip(words, content, strict=True) if c) >= quality_rules.KEEP_SHARE * n_words:
             second.append(r)
-    roots = groups([brute_fingerprint(r.text) for r in second])
+    roots = groups([brute_fingerprint(r.text) for r in second], corpus_pipeline.NEAR_BITS)
     third = [second[k] for k in sorted(set(roots))]
     lengths = {r.doc_id: brute_counts(r.text)[0] for r in third}
     rows = corpus_pipeline.run(spark, sf_dir).collect()

@@ -128,7 +128,7 @@ def test_pipeline_stages(spark, sf_dir):
     assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == expected
 
     ids = sorted(expected)
-    roots = groups([brute_fingerprint(rows[i].text) for i in ids])
+    roots = groups([brute_fingerprint(rows[i].text) for i in ids], corpus_pipeline.NEAR_BITS)
     third = corpus_pipeline.without_copies(spark, second.unionByName(second.limit(3)), sf_dir)
     assert third.columns == docs.columns and sorted(r.doc_id for r in third.collect()) == sorted({ids[k] for k in roots})
 
