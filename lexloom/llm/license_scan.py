@@ -6,6 +6,12 @@ and digits, `licence` as `license`, `v3` and `3.0` as `3`, copyright lines left
 bigrams. Dice(A, B) = 2 |A and B| / (|A| + |B|) can reach THRESHOLD only if |A| is between t / (2 - t) and (2 - t) / t
 of |B|: size bounds prune the templates before an inverted index from bigrams to templates counts what is shared.
 
+A licence inside a longer unit (a notice within a line, a whole licence in a file of other text, on one line or many) is
+found by windows: a template that shares enough bigrams with the text is compared with each window that begins at a
+shared bigram, is at most as long as the template and ends at a shared one. Of windows that overlap the one that shares
+most counts, then the nearest, then the first, and only if by this order it is before the units that it overlaps. The long licences have their openings as templates, so that
+their whole texts are told by their first paragraphs.
+
 The templates are fixed, so nothing is shuffled and a lost task is simply run again; whole texts are scanned, line by
 line, and memory follows the longest text.
 
@@ -17,10 +23,13 @@ text are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,10 +107,27 @@ MORE_TEXTS = [
     *((key, _CC.format(article, name, mark) + end) for key, (name, mark) in _CC_KINDS.items() for article in ("the", "a") for end in ("", " or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.")),
 ]
 
+#: How the long licences begin.
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_SHARE = "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public {0} intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."
+OPENINGS = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. \"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 {_VERBATIM} Preamble {_SHARE.format('License is')}"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_VERBATIM} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 {_VERBATIM} [This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1.] Preamble {_SHARE.format('Licenses are')}"),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_VERBATIM} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {_VERBATIM} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("CC0-1.0", "CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN \"AS-IS\" BASIS."),
+    ("CC0-1.0", "Statement of Purpose The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\")."),
+    *((key, f"By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License (\"Public License\"). To the extent this Public License may be interpreted as a contract, You are granted the Licensed Rights in consideration of Your acceptance of these terms and conditions, and the Licensor grants You such rights in consideration of benefits the Licensor receives from making the Licensed Material available under these terms and conditions.") for key, (name, _) in _CC_KINDS.items()),
+]
+
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _DIGIT = re.compile("[0-9]")
-_COPYRIGHT = re.compile(r"\s*(copyright\b|\(c\)|©).*", re.IGNORECASE)
-#: Ordinary words (fixed values): pairs of these alone never make up enough of a template, see tests/llm/test_license_scan.py.
+#: A line that only tells a copyright: the word with a mark or year, or a mark alone.
+_COPYRIGHT = re.compile(r"[\W_]*(copyright[\W_]*(\(c\)|©|[0-9]{4})|\(c\)|©).*", re.IGNORECASE)
+#: Ordinary words (fixed values): pairs of these alone never make up enough of a template, see tests/llm/test_license_texts.py.
 ORDINARY = frozenset("a all an and any as at be by can for from if in is it may not of on or shall so that the this to under use was with you".split())
 
 
@@ -126,16 +152,21 @@ def bigrams(words: list[str]) -> set[tuple[str, str]]:
 
 
 @functools.cache
-def templates() -> tuple[list[tuple[str, int]], dict[tuple[str, str], list[int]]]:
-    """(licence, number of bigrams) of each template, and the templates that have each bigram."""
+def templates() -> tuple[list[tuple[str, int, int]], dict[tuple[str, str], list[int]]]:
+    """(licence, number of distinct bigrams, of all bigrams) of each template, and the templates that have each bigram."""
     texts = [(key, notice.format(name)) for key, (names, _) in NAMES.items() for name in names for notice in NOTICES]
-    texts += [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items()) + MORE_TEXTS
-    sets = sorted({(key, frozenset(bigrams(words_of(text)))) for key, text in texts}, key=lambda x: (x[0], sorted(x[1])))
+    texts += [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items()) + MORE_TEXTS + OPENINGS
+    lengths: dict[tuple, int] = {}
+    for key, text in texts:
+        words = words_of(text)
+        own = key, frozenset(bigrams(words))
+        lengths[own] = max(len(words) - 1, lengths.get(own, 0))
+    sets = sorted(lengths, key=lambda x: (x[0], sorted(x[1])))
     index: dict[tuple[str, str], list[int]] = {}
     for i, (_, own) in enumerate(sets):
         for pair in own:
             index.setdefault(pair, []).append(i)
-    return [(key, len(own)) for key, own in sets], index
+    return [(own[0], len(own[1]), lengths[own]) for own in sets], index
 
 
 @functools.cache
@@ -144,22 +175,22 @@ def telling() -> frozenset[str]:
     return frozenset(word for pair in templates()[1] for word in pair) - ORDINARY
 
 
-def best_match(text: str, threshold: float = THRESHOLD) -> tuple[float, str] | None:
-    """The nearest template of one unit, if it is near enough."""
+def best_match(text: str, threshold: float = THRESHOLD) -> tuple[float, str, int] | None:
+    """(dice, licence, shared bigrams) of the nearest template of one unit, if it is near enough."""
     known, index = templates()
     words = words_of(text)
     if telling().isdisjoint(words):
         return None
     pairs = bigrams(words)
     n = len(pairs)
-    if not n or threshold * n > max(size for _, size in known) * (2 - threshold) + 1e-9:
+    if not n or threshold * n > max(size for _, size, _ in known) * (2 - threshold) + 1e-9:
         return None
     shared = Counter(i for pair in pairs for i in index.get(pair, ()))
-    fits = [(-2 * k / (n + known[i][1]), known[i][0]) for i, k in shared.items() if threshold * known[i][1] <= (2 - threshold) * n + 1e-9 and threshold * n <= (2 - threshold) * known[i][1] + 1e-9]
+    fits = [(-2 * k / (n + known[i][1]), known[i][0], k) for i, k in shared.items() if threshold * known[i][1] <= (2 - threshold) * n + 1e-9 and threshold * n <= (2 - threshold) * known[i][1] + 1e-9]
     if not fits or -min(fits)[0] < threshold:
         return None
-    dice, key = min(fits)
-    return -dice, key
+    dice, key, k = min(fits)
+    return -dice, key, k
 
 
 def units(text: str) -> Iterator[tuple[int, int]]:
@@ -181,18 +212,83 @@ def units(text: str) -> Iterator[tuple[int, int]]:
         yield 0, len(text)
 
 
+def placed_words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Normalised words with where each begins and ends; lines that only tell a copyright are left out."""
+    words, starts, ends, at = [], [], [], 0
+    for line in text.split("\n"):
+        if not _COPYRIGHT.fullmatch(line):
+            for m in _WORD.finditer(line):
+                for word in words_of(m[0]):
+                    words.append(word)
+                    starts.append(at + m.start())
+                    ends.append(at + m.end())
+        at += len(line) + 1
+    return words, starts, ends
+
+
+def windows(pairs: list, threshold: float) -> list[tuple[float, str, int, int, int]]:
+    """(dice, licence, first, last, shared bigrams) of the windows that don't overlap, those that share most first."""
+    known, index = templates()
+    at: dict[int, list[int]] = {}
+    for place, pair in enumerate(pairs):
+        for i in index.get(pair, ()):
+            at.setdefault(i, []).append(place)
+    # (-shared, least that -dice can be, start, licence, last, template, whether it is -dice itself)
+    queue: list[tuple[int, float, int, str, int, int, bool]] = []
+    for i, places in at.items():
+        key, size, length = known[i]
+        # a window with s shared bigrams has at least s, so its coefficient is 2 s / (s + size) at most
+        least = math.ceil(threshold * size / (2 - threshold) - 1e-9)
+        if len(places) < least:
+            continue
+        inside: dict = {}
+        stop = 0
+        for start in places:
+            while stop < len(places) and places[stop] < start + length:
+                inside[pairs[places[stop]]] = inside.get(pairs[places[stop]], 0) + 1
+                stop += 1
+            shared = len(inside)
+            if shared >= least:
+                queue.append((-shared, -2 * shared / (shared + size), start, key, places[stop - 1], i, False))
+            inside[pairs[start]] -= 1
+            if not inside[pairs[start]]:
+                del inside[pairs[start]]
+    heapq.heapify(queue)
+    taken, out = bytearray(len(pairs)), []
+    while queue:
+        shared, value, start, key, last, i, exact = heapq.heappop(queue)
+        if 1 in taken[start : last + 1]:
+            continue
+        if exact:
+            taken[start : last + 1] = b"\1" * (last + 1 - start)
+            out.append((-value, key, start, last, -shared))
+        elif (dice := -2 * shared / (len(set(pairs[start : last + 1])) + known[i][1])) >= threshold:
+            heapq.heappush(queue, (shared, -dice, start, key, last, i, True))
+    return out
+
+
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[float, str, int, int]]:
-    """(dice, licence, start, end) of each unit that is near a template."""
+    """(dice, licence, start, end) of each unit that is near a template, and of each window that tells more."""
     if telling().isdisjoint(words_of(text)):
         return []
-    out = []
+    hits = []
     for start, end in units(text):
         own = text[start:end]
         if "\n" in own:
             own = "\n".join(x for x in own.split("\n") if not _COPYRIGHT.fullmatch(x))
         if found := best_match(own, threshold):
-            out.append((*found, start, end))
-    return out
+            hits.append((*found, start, end))
+    words, starts, ends = placed_words(text)
+    index = templates()[1]
+    if sum(pair in index for pair in zip(words, words[1:], strict=False)) >= 2:
+        told = np.zeros(len(words))  # by the units that hold a word: bigrams shared, and the coefficient to decide between equal ones
+        for dice, _, n, start, end in hits:
+            own = slice(*np.searchsorted(starts, (start, end)))
+            told[own] = np.maximum(told[own], n + dice / 2)
+        for dice, key, first, last, n in windows(list(zip(words, words[1:], strict=False)), threshold):
+            if n + dice / 2 > told[first : last + 2].max():
+                hits.append((dice, key, n, starts[first], ends[last + 1]))
+    return [(dice, key, start, end) for dice, key, _, start, end in hits]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
