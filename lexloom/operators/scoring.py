@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_CANDIDATES = 200_000
@@ -96,8 +96,8 @@ def _matrices(models) -> list[np.ndarray]:
     return [np.array([np.asarray(frame, float) for frame in m]) for m in models]
 
 
-def top_candidates(rows: DataFrame, id_col: str, models: str, candidates: list[tuple[str, list[int]]], k: int = 5) -> DataFrame:
-    """(id, rank, candidate, score, p_rel): the k candidates of least mean loss; p_rel is over all candidates, 0 for an impossible one, which is last with a null score."""
+def top_losses(rows: DataFrame, id_col: str, models: str, candidates: list[tuple[str, list[int]]], k: int = 5) -> DataFrame:
+    """(id, rank, candidate, loss, log_total): the k candidates of least mean loss, unrounded, infinite for an impossible one; of equal ones the first of the list is before. log_total: the log of the chances of all candidates."""
     if len(candidates) > MOST_CANDIDATES:
         raise ValueError(f"{len(candidates)} candidates are sent to every task; at most {MOST_CANDIDATES}")
     names, targets = [n for n, _ in candidates], [t for _, t in candidates]
@@ -108,12 +108,17 @@ def top_candidates(rows: DataFrame, id_col: str, models: str, candidates: list[t
             for i, m in zip(batch[id_col], batch[models], strict=True):
                 losses = mean_losses(_matrices(m), targets)
                 total = _log_total(losses)
-                for rank, j in enumerate(np.argsort(losses, kind="stable")[:k]):
-                    ok = np.isfinite(losses[j])
-                    out.append((i, rank + 1, names[j], round(float(losses[j]), 3) if ok else None, round(float(np.exp(-losses[j] - total)), 4) if ok else 0.0))
-            yield pd.DataFrame(out, columns=[id_col, "rank", "candidate", "score", "p_rel"])
+                out += [(i, rank, names[j], float(losses[j]), total) for rank, j in enumerate(np.argsort(losses, kind="stable")[:k], 1)]
+            yield pd.DataFrame(out, columns=[id_col, "rank", "candidate", "loss", "log_total"])
 
-    return rows.select(id_col, models).mapInPandas(task, f"`{id_col}` {dict(rows.dtypes)[id_col]}, rank int, candidate string, score double, p_rel double")
+    return rows.select(id_col, models).mapInPandas(task, f"`{id_col}` {dict(rows.dtypes)[id_col]}, rank int, candidate string, loss double, log_total double")
+
+
+def top_candidates(rows: DataFrame, id_col: str, models: str, candidates: list[tuple[str, list[int]]], k: int = 5) -> DataFrame:
+    """(id, rank, candidate, score, p_rel): the k candidates of least mean loss; p_rel is over all candidates, 0 for an impossible one, which is last with a null score."""
+    possible = F.col("loss") < float("inf")
+    found = top_losses(rows, id_col, models, candidates, k)
+    return found.select(id_col, "rank", "candidate", F.when(possible, F.bround("loss", 3)).alias("score"), F.when(possible, F.bround(F.exp(-F.col("loss") - F.col("log_total")), 4)).otherwise(0.0).alias("p_rel"))
 
 
 def free_best(rows: DataFrame, id_col: str, models: str, readings: str) -> DataFrame:
@@ -149,25 +154,23 @@ def pair_losses(rows: DataFrame, id_col: str, models: str, pairs: str, space: in
 
 
 def merge_ranked(words: DataFrame, pairs: DataFrame, id_col: str, penalty: float, k: int = 5) -> DataFrame:
-    """(id, rank, kind, a, b, loss, score, p_rel): the k best of list words (id, a, loss) and pairs (id, a, b, loss, ord) by the loss rounded to 3 decimals, a pair's plus the penalty.
+    """(id, rank, kind, a, b, loss, score, p_rel): the k best of list words (id, a, rank, loss, log_total) and pairs (id, a, b, loss, ord) by the loss rounded to 3 decimals, a pair's plus the penalty.
 
-    Equal scores: word before pair, then earlier before later (words by a, pairs by ord); impossible ones last with a
-    null score. p_rel is from unrounded losses, over all rows given.
+    words: the k best of each id with the log of the chances of all words, as top_losses gives them, so no more than k
+    words of an id are sorted. Equal scores: word before pair, then earlier before later (words by rank, pairs by ord); impossible ones last with a null score. p_rel is from unrounded losses, over all words and pairs.
     """
-    from pyspark.sql import Window
-
     if not np.isfinite(penalty):
         raise ValueError("the penalty must be finite")
     infinite = F.lit(float("inf"))
     rounded = F.when(F.col("loss") < infinite, F.bround("loss", 3)).otherwise(infinite)
-    one = words.select(id_col, F.lit("word").alias("kind"), "a", F.lit(None).cast("int").alias("b"), F.col("loss").alias("raw"), rounded.alias("loss"), rounded.alias("effective"), F.lit(0).alias("k1"), F.col("a").cast("bigint").alias("k2"))
+    one = words.select(id_col, F.lit("word").alias("kind"), "a", F.lit(None).cast("int").alias("b"), F.col("loss").alias("raw"), rounded.alias("loss"), rounded.alias("effective"), F.lit(0).alias("k1"), F.col("rank").cast("bigint").alias("k2"))
     two = pairs.select(id_col, F.lit("pair").alias("kind"), "a", "b", (F.col("loss") + penalty).alias("raw"), rounded.alias("loss"), (rounded + penalty).alias("effective"), F.lit(1).alias("k1"), F.col("ord").cast("bigint").alias("k2"))
-    both = one.unionByName(two)
-    w = Window.partitionBy(id_col)
-    least = F.min("raw").over(w)
-    total = F.sum(F.when(F.col("raw") < infinite, F.exp(least - F.col("raw")))).over(w)
+    # chances are told relative to the best word or pair, so that they don't vanish
+    of_words = words.groupBy(id_col).agg(F.max("log_total").alias("__t"))
+    chances = pairs.where(F.col("loss") < infinite).select(id_col, (-F.col("loss") - penalty).alias("__t")).unionByName(of_words.where(F.col("__t") > -infinite))
+    best = chances.groupBy(id_col).agg(F.max("__t").alias("__best"))
+    total = chances.join(best, id_col).groupBy(id_col).agg((F.first("__best") + F.log(F.sum(F.exp(F.col("__t") - F.col("__best"))))).alias("__total"))
+    ranked = one.unionByName(two).withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("effective", "k1", "k2"))).where(F.col("rank") <= k).join(total, id_col, "left")
     ok = F.col("effective") < infinite
-    p = F.when(ok, F.round(F.exp(least - F.col("raw")) / total, 4)).otherwise(0.0)
-    ranked = both.withColumn("p_rel", p).withColumn("rank", F.row_number().over(w.orderBy("effective", "k1", "k2"))).where(F.col("rank") <= k)
-    null = lambda c: F.when(ok, F.round(c, 3))
-    return ranked.select(id_col, "rank", "kind", "a", "b", null(F.col("loss")).alias("loss"), null(F.col("effective")).alias("score"), "p_rel")
+    null = lambda c: F.when(ok, F.bround(c, 3))
+    return ranked.select(id_col, "rank", "kind", "a", "b", null(F.col("loss")).alias("loss"), null(F.col("effective")).alias("score"), F.when(ok, F.bround(F.exp(-F.col("raw") - F.col("__total")), 4)).otherwise(0.0).alias("p_rel"))

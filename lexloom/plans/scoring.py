@@ -53,13 +53,36 @@ def ctc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(C.confidence(F.col("frames")), 6).alias("confidence"), F.round(C.confidence_nonblank(F.col("frames")), 6).alias("nonblank"))
 
 
-@query("ctc_topk")
+def _chance(frames: str, classes: str) -> str:
+    """SQL for the chance of a sequence of classes: the forward recursion over the frames, places of the sequence with blanks between as a list."""
+    places = f"list_concat([0], flatten(list_transform({classes}, lambda c: [c, 0])))"
+    first = f"list_transform({places}, lambda c, s: CASE WHEN s <= 2 THEN {frames}[1][c + 1] ELSE 0.0 END)"
+    jump = f"CASE WHEN s > 2 AND c <> 0 AND c <> ({places})[s - 2] THEN a[s - 2] ELSE 0.0 END"
+    step = f"list_transform({places}, lambda c, s: (a[s] + CASE WHEN s > 1 THEN a[s - 1] ELSE 0.0 END + {jump}) * f[c + 1])"
+    return f"(list_reduce({frames}[2:], lambda a, f: {step}, {first}))[-2:]"
+
+
+def _loss(classes: str) -> str:
+    return f"-(ln(list_sum({_chance('m1', classes)})) + ln(list_sum({_chance('m2', classes)}))) / 2"
+
+
+_SOFT = "list_transform({0}, lambda x: list_transform(x, lambda v: exp(v - list_max(x)) / list_sum(list_transform(x, lambda u: exp(u - list_max(x))))))"
+#: vec_id, the chances of both models, and the greedy readings of the first and of its change.
+_MODELS = f"""{_FRAMES}, mo AS (SELECT vec_id, {_SOFT.format("f")} AS m1, {_SOFT.format("list_transform(f, lambda x: list_transform(x, lambda v: v / 2))")} AS m2, list_filter(p, lambda c, i: c <> 0 AND (i = 1 OR c <> p[i - 1])) AS r1,
+  list_concat([list_position(list_reverse(f[1]), list_max(f[1])) - 1], p[2:]) AS q FROM pa), md AS (SELECT vec_id, m1, m2, r1, list_filter(q, lambda c, i: c <> 0 AND (i = 1 OR c <> q[i - 1])) AS r2 FROM mo)"""
+_CANDIDATES = f"ca AS (SELECT unnest({[n for n, _ in CANDIDATES]}) AS candidate, unnest({[t for _, t in CANDIDATES]}) AS t, unnest(range({len(CANDIDATES)})) AS place)"
+_LOSSES = f"{_MODELS}, {_CANDIDATES}, lo AS (SELECT vec_id, candidate, place, {_loss('t')} AS loss FROM md, ca)"
+_PAIRS = f"""rs AS (SELECT vec_id, m1, m2, list_filter(r1, lambda c: c <> {SPACE}) AS r FROM md), pr AS (SELECT vec_id, m1, m2, r[i - 1] * 10 + r[i] AS a, r[i + 1] * 10 + r[i + 2] AS b, r[i - 1 : i] AS x, r[i + 1 : i + 2] AS y FROM (SELECT *, unnest(range(2, len(r) - 1)) AS i FROM rs)),
+  pl AS (SELECT vec_id, a, b, min(least({_loss(f"list_concat(x, [{SPACE}], y)")}, {_loss("list_concat(x, y)")})) AS loss FROM pr GROUP BY vec_id, a, b)"""
+
+
+@query("ctc_topk", f"WITH {_LOSSES}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY loss, place) AS rank, exp(-loss) / sum(exp(-loss)) OVER (PARTITION BY vec_id) AS p FROM lo) SELECT vec_id, rank, candidate, round(loss, 3) AS score, round(p, 4) AS p_rel FROM k WHERE rank <= 5")
 def ctc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five candidates of least mean loss over two models, with their relative probabilities."""
     return C.top_candidates(models(spark, sf_dir).select("vec_id", "models"), "vec_id", "models", CANDIDATES)
 
 
-@query("free_best")
+@query("free_best", f"WITH {_MODELS}, u AS (SELECT vec_id, m1, m2, unnest([r1, r2]) AS r, unnest([1, 2]) AS i FROM md), l AS (SELECT vec_id, r, i, {_loss('r')} AS loss FROM u WHERE len(r) > 0) SELECT vec_id, arg_min(r, (loss, i)) AS reading, round(min(loss), 3) AS score FROM (SELECT vec_id, NULL AS r, 3 AS i, NULL AS loss FROM md UNION ALL SELECT * FROM l) GROUP BY vec_id")
 def free_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.free_best(models(spark, sf_dir).select("vec_id", "models", "readings"), "vec_id", "models", "readings")
 
@@ -74,15 +97,21 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("ord", F.row_number().over(Window.partitionBy("vec_id").orderBy("a", "b")))
 
 
-@query("pair_loss")
+@query("pair_loss", f"WITH {_MODELS}, {_PAIRS} SELECT vec_id, a, b, round(loss, 3) AS loss FROM pl")
 def pair_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("vec_id", "a", "b", F.round("loss", 3).alias("loss"))
+    return _pairs(spark, sf_dir).select("vec_id", "a", "b", F.bround("loss", 3).alias("loss"))
 
 
-@query("ranked_readings")
+@query(
+    "ranked_readings",
+    f"""WITH {_LOSSES}, {_PAIRS}, al AS (SELECT vec_id, 'word' AS kind, candidate::INT AS a, NULL AS b, loss AS raw, round(loss, 3) AS loss, round(loss, 3) AS score, 0 AS k1, row_number() OVER (PARTITION BY vec_id ORDER BY loss, place) AS k2 FROM lo
+      UNION ALL SELECT vec_id, 'pair', a, b, loss + 8, round(loss, 3), round(loss, 3) + 8, 1, row_number() OVER (PARTITION BY vec_id ORDER BY a, b) FROM pl),
+    k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, k1, k2) AS rank, exp(-raw) / sum(exp(-raw)) OVER (PARTITION BY vec_id) AS p FROM al)
+    SELECT vec_id, rank, kind, a, b, loss, round(score, 3) AS score, round(p, 4) AS p_rel FROM k WHERE rank <= 5""",
+)
 def ranked_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of list words and pairs, a pair costing 8 more."""
-    words = C.top_candidates(models(spark, sf_dir).select("vec_id", "models"), "vec_id", "models", CANDIDATES, len(CANDIDATES)).select("vec_id", F.col("candidate").cast("int").alias("a"), F.coalesce("score", F.lit(float("inf"))).alias("loss"))
+    words = C.top_losses(models(spark, sf_dir).select("vec_id", "models"), "vec_id", "models", CANDIDATES).select("vec_id", F.col("candidate").cast("int").alias("a"), "rank", "loss", "log_total")
     return C.merge_ranked(words, _pairs(spark, sf_dir), "vec_id", 8.0)
 
 

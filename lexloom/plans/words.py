@@ -43,18 +43,36 @@ _PATTERN_SQL = "|".join([*sorted(K._SPELLINGS, key=len, reverse=True), "."])
 _KEEP_SQL = "[" + ", ".join(f"'{t}'" for t in K.REPEATABLE) + "]"
 
 
+def _tokens_sql(pieces: str) -> str:
+    """The tokens of a list of pieces: `a` and a lone `w` before no vowel are one token; doubled consonants are not yet single."""
+    vowel = lambda i: f"regexp_matches(coalesce({pieces}[{i}], ''), '^[{K.VOWELS}]')"
+    named = f"""CASE WHEN x = 'a' AND {pieces}[i + 1] = 'w' AND NOT {vowel("i + 2")} THEN 'OW' WHEN x = 'w' AND i > 1 AND {pieces}[i - 1] = 'a' AND NOT {vowel("i + 1")} THEN '' ELSE ({_MAP_SQL})[x] END"""
+    return f"list_filter(list_transform({pieces}, lambda x, i: {named}), lambda x: x IS NULL OR x <> '')"
+
+
+_PIECES_SQL = f"regexp_extract_all(replace(word, 'x', 'ks'), '{_PATTERN_SQL}')"
+
+
 @query(
     "spelled_words",
-    f"""WITH {LIST_WORDS}, raw AS (SELECT word, list_transform(regexp_extract_all(replace(word, 'x', 'ks'), '{_PATTERN_SQL}'), lambda p: ({_MAP_SQL})[p]) AS t FROM list_words WHERE NOT contains(word, 'aw'))
+    f"""WITH {LIST_WORDS}, p AS (SELECT word, {_PIECES_SQL} AS p FROM (SELECT * FROM list_words UNION SELECT word || w FROM list_words, (VALUES ('aw'), ('awu'), ('wawa'), ('awli')) x(w))), raw AS (SELECT word, {_tokens_sql("p")} AS t FROM p)
     SELECT word, array_to_string(list_filter(t, lambda x, i: i = 1 OR list_contains({_KEEP_SQL}, x) OR x <> t[i - 1]), ' ') AS tokens,
       len(list_filter(t, lambda x, i: i = 1 OR list_contains({_KEEP_SQL}, x) OR x <> t[i - 1])) AS n_tokens FROM raw""",
 )
 def spelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = list_words(spark, sf_dir).where(~F.contains("word", F.lit("aw"))).withColumn("t", K.spell(F.col("word"), unknown="null"))
+    """Spellings of the list words, also with endings that hold `aw`."""
+    ended = F.array(*(F.concat("word", F.lit(x)) for x in ("", "aw", "awu", "wawa", "awli")))
+    words = list_words(spark, sf_dir).select(F.explode(ended).alias("word")).distinct().withColumn("t", K.spell(F.col("word"), unknown="null"))
     return words.select("word", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n_tokens"))
 
 
-@query("spelled_classes")
+@query(
+    "spelled_classes",
+    f"""WITH {LIST_WORDS}, p AS (SELECT word, {_PIECES_SQL} AS p FROM list_words), raw AS (SELECT word, {_tokens_sql("p")} AS r FROM p),
+    s AS (SELECT word, list_filter(r, lambda x, i: i = 1 OR list_contains({_KEEP_SQL}, x) OR x <> r[i - 1]) AS t FROM raw WHERE NOT list_contains(list_transform(r, lambda x: x IS NULL), true))
+    SELECT word, list_transform(t, lambda x: list_position({K.ALPHABET}, x)) AS classes, array_to_string(list_transform(t, lambda x: (MAP {{{", ".join(f"'{k}': '{chr(c) if c else chr(0xFFFD)}'" for k, (c, _) in K.TOKENS.items())}}})[x]), '') AS signs,
+      len(list_filter(t, lambda x: NOT list_contains({K.ALPHABET}, x))) = 0 AS known, array_to_string(t, ' ') AS label FROM s""",
+)
 def spelled_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling, class numbers and signs of each list word, also with `aw`; words without a spelling are left out."""
     words = list_words(spark, sf_dir).withColumn("t", K.spell(F.col("word"), unknown="null")).where("t IS NOT NULL")
@@ -139,12 +157,12 @@ def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = f"array_to_string(list_filter(t, lambda x, i: i = 1 OR list_contains({_KEEP_SQL}, x) OR x <> t[i - 1]), ' ')"
-_SPELLED = f"""{LIST_WORDS}, {NAME_WORDS}, two AS (SELECT word, 0 AS list_no FROM list_words WHERE NOT contains(word, 'aw') UNION ALL SELECT word, 1 FROM name_words WHERE NOT contains(word, 'aw')),
-  raw AS (SELECT word, list_no, list_transform(regexp_extract_all(replace(word, 'x', 'ks'), '{_PATTERN_SQL}'), lambda p: ({_MAP_SQL})[p]) AS t FROM two), sp AS (SELECT word, list_no, {_TOKENS} AS tokens FROM raw WHERE NOT list_contains(list_transform(t, lambda x: x IS NULL), true))"""
+_SPELLED = f"""{LIST_WORDS}, {NAME_WORDS}, two AS (SELECT word, 0 AS list_no FROM list_words UNION ALL SELECT word, 1 FROM name_words),
+  p AS (SELECT word, list_no, {_PIECES_SQL} AS p FROM two), raw AS (SELECT word, list_no, {_tokens_sql("p")} AS t FROM p), sp AS (SELECT word, list_no, {_TOKENS} AS tokens FROM raw WHERE NOT list_contains(list_transform(t, lambda x: x IS NULL), true))"""
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [x.where(~F.contains("word", F.lit("aw"))).select(F.col("word").alias("headword"), F.lit("A").alias("conf"), F.lit("").alias("tokens"), F.col("word").alias("ord")) for x in (list_words(spark, sf_dir), name_words(spark, sf_dir))]
+    return [x.select(F.col("word").alias("headword"), F.lit("A").alias("conf"), F.lit("").alias("tokens"), F.col("word").alias("ord")) for x in (list_words(spark, sf_dir), name_words(spark, sf_dir))]
 
 
 @query("candidate_list", f"WITH {_SPELLED}, o AS (SELECT tokens, word, min((list_no, word)) AS p FROM sp GROUP BY tokens, word), g AS (SELECT tokens, list(word ORDER BY p) AS h FROM o GROUP BY tokens) SELECT tokens, h[1] AS headword, array_to_string(h[2:4], '|') AS others FROM g")
@@ -162,7 +180,7 @@ def fold_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("leak_free_words", f"WITH {_SPELLED}, s AS (SELECT word, tokens, {Q.split_of('word')} AS split FROM sp WHERE list_no = 0) SELECT word, tokens FROM s WHERE split = 'train' AND tokens NOT IN (SELECT tokens FROM s WHERE split = 'test')")
 def leak_free_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = list_words(spark, sf_dir).where(~F.contains("word", F.lit("aw"))).select("word", F.array_join(K.spell(F.col("word"), unknown="null"), " ").alias("tokens"), X.split_of(F.col("word")).alias("split"))
+    words = list_words(spark, sf_dir).select("word", F.array_join(K.spell(F.col("word"), unknown="null"), " ").alias("tokens"), X.split_of(F.col("word")).alias("split"))
     return W.without_leaks(words.where("tokens IS NOT NULL"), "split", "tokens").select("word", "tokens")
 
 

@@ -76,12 +76,56 @@ def test_top_candidates_and_ranking(spark):
     assert [r.candidate for r in out] == ["ab", "b", "long"] and out[2].score is None and out[2].p_rel == 0 and abs(sum(r.p_rel for r in out) - 1) < 1e-3
     best = scoring.free_best(df.withColumn("r", F.expr("array(array(1, 2), array(), array(2))")), "id", "models", "r").first()
     assert best.reading == [1, 2]
-    words = spark.createDataFrame([(1, 5, 10.0004), (1, 6, float("inf"))], "id int, a int, loss double")
-    pairs = spark.createDataFrame([(1, 2, 3, 2.0001, 1), (1, 2, 4, 9.0, 2)], "id int, a int, b int, loss double, ord int")
-    ranked = scoring.merge_ranked(words, pairs, "id", 8.0).orderBy("rank").collect()
-    assert [(r.kind, r.score) for r in ranked] == [("word", 10.0), ("pair", 10.0), ("pair", 17.0), ("word", None)]
+    with pytest.raises(ValueError, match="at most"):
+        scoring.top_losses(df, "id", "models", [("a", [1])] * (scoring.MOST_CANDIDATES + 1))
+
+
+def ranked(spark, words, pairs, penalty, k=5, log_total=None):
+    """words, pairs: (head, loss) and (a, b, loss) of one row; log_total: of words that aren't among them too."""
+    finite = [-x for _, x in words if x < np.inf]
+    total = log_total if log_total is not None else float(np.logaddexp.reduce(finite)) if finite else -np.inf
+    one = spark.createDataFrame([(1, a, i, x, total) for i, (a, x) in enumerate(words)], "id int, a int, rank int, loss double, log_total double")
+    two = spark.createDataFrame([(1, a, b, x, i) for i, (a, b, x) in enumerate(pairs)], "id int, a int, b int, loss double, ord int")
+    return scoring.merge_ranked(one, two, "id", penalty, k).orderBy("rank").collect()
+
+
+def test_words_and_pairs_by_their_scores(spark):
+    words, pairs, inf = [(5, 3.0), (6, 4.0), (7, 9.5)], [(1, 2, -1.0), (3, 4, 1.0), (8, 9, 0.5)], np.inf
+    got = [(r.kind, r.a, r.b, r.loss, r.score) for r in ranked(spark, words, pairs, 8.0)]
+    assert got == [("word", 5, None, 3.0, 3.0), ("word", 6, None, 4.0, 4.0), ("pair", 1, 2, -1.0, 7.0), ("pair", 8, 9, 0.5, 8.5), ("pair", 3, 4, 1.0, 9.0)]
+    assert [(r.kind, r.a, r.score) for r in ranked(spark, words, pairs, 0.0, 2)] == [("pair", 1, -1.0), ("pair", 8, 0.5)]
+    assert [(r.kind, r.a, r.score) for r in ranked(spark, words, pairs, 100.0, 4)] == [("word", 5, 3.0), ("word", 6, 4.0), ("word", 7, 9.5), ("pair", 1, 99.0)]
+    assert ranked(spark, [], [], 8.0) == [] and [r.a for r in ranked(spark, words, [], 8.0, 2)] == [5, 6]
+    got = ranked(spark, [(1, 8.0), (2, inf)], [(3, 4, 0.0), (5, 6, inf), (7, 8, 0.0)], 8.0, 10)
+    assert [(r.kind, r.a) for r in got] == [("word", 1), ("pair", 3), ("pair", 7), ("word", 2), ("pair", 5)] and got[-1].score is None and got[-1].p_rel == 0
     with pytest.raises(ValueError, match="finite"):
-        scoring.merge_ranked(words, pairs, "id", float("nan"))
+        ranked(spark, words, pairs, float("nan"))
+
+
+def test_ranking_is_on_written_scores_and_chances_on_losses(spark):
+    # unrounded, the pair would win by 0.0003
+    got = ranked(spark, [(2, 10.0004), (0, 11.0)], [(0, 1, 2.0001)], 8.0, 3, -9.5)
+    assert [(r.kind, r.a, r.score) for r in got] == [("word", 2, 10.0), ("pair", 0, 10.0), ("word", 0, 11.0)]
+    total = np.logaddexp(-9.5, -10.0001)
+    assert [r.p_rel for r in got] == [round(float(np.exp(-x - total)), 4) for x in (10.0004, 10.0001, 11.0)] and got[1].loss == 2.0
+    tiny = ranked(spark, [(1, 5_000.0), (2, 5_001.0)], [(1, 2, 4_993.0)], 8.0)
+    assert abs(sum(r.p_rel for r in tiny) - 1) < 1e-3
+
+
+def test_pair_losses_are_the_least_of_the_means(spark):
+    rng = np.random.default_rng(2)
+    models = [np.log(rng.dirichlet(np.ones(4), size=6)) for _ in range(3)]
+    df = spark.createDataFrame([(1, [m.tolist() for m in models], [{"a": 12, "b": 1, "left": [1, 2], "right": [1]}, {"a": 2, "b": 2, "left": [2], "right": [2]}])], "id int, models array<array<array<double>>>, pairs array<struct<a:int,b:int,left:array<int>,right:array<int>>>")
+    got = {(r.a, r.b): r.loss for r in scoring.pair_losses(df, "id", "models", "pairs", 3).collect()}
+    mean = lambda t: np.mean([scoring.ctc_losses(m, [t])[0] for m in models])
+    assert got == {(12, 1): pytest.approx(min(mean([1, 2, 3, 1]), mean([1, 2, 1]))), (2, 2): pytest.approx(min(mean([2, 3, 2]), mean([2, 2])))}
+
+
+def test_free_best_is_the_first_of_least_loss(spark):
+    frames = np.log([[0.1, 0.8, 0.1], [0.1, 0.1, 0.8]]).tolist()
+    df = spark.createDataFrame([(1, [frames], [[], [2], [1, 2], [1, 2]]), (2, [frames], [[]]), (3, [frames], [[1, 1, 2]])], "id int, m array<array<array<double>>>, r array<array<int>>")
+    got = {x.id: (x.reading, x.score) for x in scoring.free_best(df, "id", "m", "r").collect()}
+    assert got == {1: ([1, 2], round(-np.log(0.64), 3)), 2: (None, None), 3: ([1, 1, 2], None)}
 
 
 def test_alignment_is_shortest_and_prefers_pairs(spark):
