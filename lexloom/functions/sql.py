@@ -64,3 +64,18 @@ def well_formed(x: str) -> str:
         f" AND NOT regexp_matches({letters}, '[bcdfgjkmnpqrstvxz]{{4}}') AND NOT starts_with({letters}, 'x')"
     )
     return f"(len({words}) BETWEEN 1 AND 4 AND len(list_filter({words}, lambda w: NOT ({test}))) = 0)"
+
+
+def aligned(ref: str, hyp: str) -> str:
+    """The steps `a>b` of a shortest edit path of two lists of tokens, `-` for none; from its end a pair is preferred, then a lost token, then an added one.
+
+    A row of the table of costs is a list of (cost, path so far), made from the row before by a list function.
+    """
+    hyps = f"list_transform({hyp}, lambda token_, place_: [{{'c': place_, 'p': token_}}])"
+    first = f"list_reduce({hyps}, lambda row_, x_: list_append(row_, {{'c': x_[1].c, 'p': row_[-1].p || '->' || x_[1].p || ' '}}), [{{'c': 0::BIGINT, 'p': ''}}])"
+    pair, lost, added = "up_[x_[1].c].c + (ref_[1].p <> x_[1].p)::INT", "up_[x_[1].c + 1].c + 1", "row_[-1].c + 1"
+    paths = "up_[x_[1].c].p || ref_[1].p || '>' || x_[1].p || ' '", "up_[x_[1].c + 1].p || ref_[1].p || '>- '", "row_[-1].p || '->' || x_[1].p || ' '"
+    cell = f"CASE WHEN {pair} <= least({lost}, {added}) THEN {{'c': {pair}, 'p': {paths[0]}}} WHEN {lost} <= {added} THEN {{'c': {lost}, 'p': {paths[1]}}} ELSE {{'c': {added}, 'p': {paths[2]}}} END"
+    row = f"list_reduce({hyps}, lambda row_, x_: list_append(row_, {cell}), [{{'c': up_[1].c + 1, 'p': up_[1].p || ref_[1].p || '>- '}}])"
+    last = f"list_reduce(list_transform({ref}, lambda token_: [{{'c': 0::BIGINT, 'p': token_}}]), lambda up_, ref_: {row}, {first})"
+    return f"list_filter(string_split(({last})[-1].p, ' '), lambda step_: step_ <> '')"

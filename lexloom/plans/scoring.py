@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql as Q
 from ..functions.text import percent, word_key
 from ..functions.tokens import label, letter_class, spell, token_distance, token_sources
 from ..operators import evaluation as E
@@ -14,6 +15,7 @@ from ..operators import scoring as C
 from .registry import query
 from .sequences import EVENTS, events
 from .tables import DOC_WORDS, LIST_WORDS, doc_words, list_words, table
+from .words import SOURCES, spelled_sql
 
 SPACE = 7
 #: Every sequence of two or three of the classes 1 to 6 without repeats side by side.
@@ -131,21 +133,35 @@ def ter_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.error_rates(rows, "role")
 
 
-@query("confusion_patterns")
+_STEP = "split_part(step, '>', {0})"
+
+
+@query(
+    "confusion_patterns",
+    f"""WITH {_READINGS}, st AS (SELECT ref AS word, unnest({Q.aligned("string_split(ref, '')", "string_split(hyp, '')")}) AS step FROM rd WHERE ref <> '' AND hyp <> ''), c AS (SELECT word, {_STEP.format(1)} AS ref, {_STEP.format(2)} AS hyp FROM st),
+    t AS (SELECT ref, count(*) AS ref_total FROM c WHERE ref <> '-' GROUP BY ref), w AS (SELECT ref, hyp, count(DISTINCT word) AS n_words FROM c WHERE ref <> hyp GROUP BY ref, hyp HAVING count(DISTINCT word) >= 3)
+    SELECT ref, hyp, n_words, coalesce(ref_total, 0) AS ref_total FROM w LEFT JOIN t USING (ref)""",
+)
 def confusion_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters read as others in at least three distinct words."""
     rows = readings(spark, sf_dir).where("ref <> '' AND hyp <> ''").select(F.col("ref").alias("word"), F.split("ref", "").alias("r"), F.split("hyp", "").alias("h"))
     return E.confusions(rows, "word", "r", "h")
 
 
-@query("context_errors")
+_ERRORS = f"""{SOURCES}, hy AS (SELECT word, src, {spelled_sql("regexp_replace(word, '[ei]', '', 'g')")} AS hyp FROM sources),
+  al AS (SELECT word, src, list_filter({Q.aligned("list_transform(src, lambda s: s.token)", "hyp")}, lambda s: NOT starts_with(s, '->')) AS steps FROM hy WHERE hyp IS NOT NULL),
+  er AS (SELECT word, unnest(src) AS s, unnest(steps) AS step FROM al),
+  ce AS (SELECT s.token AS token, s.letters AS letters, s.context AS context, count(*) AS n, count_if({_STEP.format(2)} = '-') AS deleted, count_if({_STEP.format(2)} NOT IN ('-', s.token)) AS substituted, count(DISTINCT word) AS n_words FROM er GROUP BY ALL)"""
+
+
+@query("context_errors", f"WITH {_ERRORS} SELECT * FROM ce")
 def context_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of tokens by their letters and context, of list words read as their spelling without its first vowel rule."""
     rows = list_words(spark, sf_dir).select("word", token_sources(F.col("word")).alias("src"), spell(F.regexp_replace("word", "[ei]", ""), unknown="null").alias("hyp")).where("hyp IS NOT NULL")
     return E.context_errors(rows, "word", "src", "hyp", letter_class)
 
 
-@query("context_groups")
+@query("context_groups", f"WITH {_ERRORS} SELECT contains(context, 'V') AS beside_vowel, sum(n) AS n, sum(deleted + substituted) AS errors, sum(deleted) AS deleted FROM ce GROUP BY beside_vowel")
 def context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.context_groups(context_errors(spark, sf_dir))
 
@@ -250,7 +266,11 @@ def share_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(percent(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("share"))
 
 
-@query("spelling_distance")
+@query(
+    "spelling_distance",
+    f"""WITH {LIST_WORDS}, sp AS (SELECT word, {spelled_sql("word")} AS a, {spelled_sql("left(word, length(word) // 2)")} AS b FROM list_words)
+    SELECT word, len(list_filter({Q.aligned("a", "b")}, lambda s: split_part(s, '>', 1) <> split_part(s, '>', 2))) AS distance, array_to_string(a, ' ') AS label FROM sp WHERE a IS NOT NULL AND b IS NOT NULL""",
+)
 def spelling_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token distance between a list word's spelling and that of its first half twice; and its label."""
     rows = list_words(spark, sf_dir).select("word", spell(F.col("word"), unknown="null").alias("a"), spell(F.expr("left(word, length(word) div 2)"), unknown="null").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")

@@ -79,7 +79,24 @@ def spelled_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", K.classes(F.col("t")).alias("classes"), K.to_signs(F.col("t")).alias("signs"), K.in_alphabet(F.col("t")).alias("known"), K.label(F.col("word")).alias("label"))
 
 
-@query("token_contexts")
+def _class_sql(x: str) -> str:
+    return f"CASE WHEN {x} IN ('^', '$', '') THEN {x} WHEN {x} IN ({', '.join(repr(v) for v in K.VOWELS)}) THEN 'V' ELSE 'C' END"
+
+
+#: word, src: the tokens of each list word with their letters and what is beside them, without the rule for `aw`.
+SOURCES = f"""{LIST_WORDS}, tp AS (SELECT word, replace(word, 'x', 'ks') AS letters, {_PIECES_SQL} AS p FROM list_words),
+  ts AS (SELECT word, list_transform(p, lambda x, i: {{'token': coalesce(({_MAP_SQL})[x], 'OO'), 'letters': x, 'context': [substr(letters, length(array_to_string(p[1:i - 1], '')), 1), substr(letters, length(array_to_string(p[1:i], '')) + 1, 1)]}}) AS t FROM tp),
+  sources AS (SELECT word, list_transform(list_filter(t, lambda s, i: i = 1 OR list_contains({_KEEP_SQL}, s.token) OR s.token <> t[i - 1].token), lambda s: {{'token': s.token, 'letters': s.letters, 'context': (CASE WHEN s.context[1] = '' THEN '^' ELSE {_class_sql('s.context[1]')} END) || '_' || (CASE WHEN s.context[2] = '' THEN '$' ELSE {_class_sql('s.context[2]')} END)}}) AS src FROM ts)"""
+
+
+def spelled_sql(word: str) -> str:
+    """The tokens of a word, null if one can't be spelled."""
+    pieces = f"regexp_extract_all(replace({word}, 'x', 'ks'), '{_PATTERN_SQL}')"
+    raw = _tokens_sql(pieces)
+    return f"CASE WHEN NOT list_contains(list_transform({raw}, lambda x: x IS NULL), true) THEN list_filter({raw}, lambda x, i: i = 1 OR list_contains({_KEEP_SQL}, x) OR x <> ({raw})[i - 1]) END"
+
+
+@query("token_contexts", f"WITH {SOURCES}, u AS (SELECT word, unnest(src) AS s FROM sources) SELECT s.token AS token, s.letters AS letters, s.context AS context, count(*) AS n, count(DISTINCT word) AS n_words FROM u GROUP BY ALL")
 def token_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each token by its letters and the classes of the letters beside it."""
     found = list_words(spark, sf_dir).select("word", F.explode(K.token_sources(F.col("word"))).alias("s"))
