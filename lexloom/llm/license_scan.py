@@ -127,6 +127,7 @@ _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _DIGIT = re.compile("[0-9]")
 #: A line that only tells a copyright: the word with a mark or year, or a mark alone.
 _COPYRIGHT = re.compile(r"[\W_]*(copyright[\W_]*(\(c\)|©|[0-9]{4})|\(c\)|©).*", re.IGNORECASE)
+_MARKED = re.compile(r"copyright|\(c\)|©", re.IGNORECASE)
 #: Ordinary words (fixed values): pairs of these alone never make up enough of a template, see tests/llm/test_license_texts.py.
 ORDINARY = frozenset("a all an and any as at be by can for from if in is it may not of on or shall so that the this to under use was with you".split())
 
@@ -212,6 +213,21 @@ def units(text: str) -> Iterator[tuple[int, int]]:
         yield 0, len(text)
 
 
+def least_shared(size: int, threshold: float) -> int:
+    """How many of a template's bigrams a near text shares at least: with s shared it has s or more, so its coefficient is 2 s / (s + size) at most."""
+    return math.ceil(threshold * size / (2 - threshold) - 1e-9)
+
+
+def hopeful(words: list[str], threshold: float) -> bool:
+    """Whether any part of the words can be near a template."""
+    if telling().isdisjoint(words):
+        return False
+    known, index = templates()
+    pairs = {pair for pair in zip(words, words[1:], strict=False) if pair in index}
+    shared = Counter(i for pair in pairs for i in index[pair])
+    return any(n >= least_shared(known[i][1], threshold) for i, n in shared.items())
+
+
 def placed_words(text: str) -> tuple[list[str], list[int], list[int]]:
     """Normalised words with where each begins and ends; lines that only tell a copyright are left out."""
     words, starts, ends, at = [], [], [], 0
@@ -237,8 +253,7 @@ def windows(pairs: list, threshold: float) -> list[tuple[float, str, int, int, i
     queue: list[tuple[int, float, int, str, int, int, bool]] = []
     for i, places in at.items():
         key, size, length = known[i]
-        # a window with s shared bigrams has at least s, so its coefficient is 2 s / (s + size) at most
-        least = math.ceil(threshold * size / (2 - threshold) - 1e-9)
+        least = least_shared(size, threshold)
         if len(places) < least:
             continue
         inside: dict = {}
@@ -269,7 +284,7 @@ def windows(pairs: list, threshold: float) -> list[tuple[float, str, int, int, i
 
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[float, str, int, int]]:
     """(dice, licence, start, end) of each unit that is near a template, and of each window that tells more."""
-    if telling().isdisjoint(words_of(text)):
+    if not hopeful(words_of(text), threshold) and not (_MARKED.search(text) and hopeful(placed_words(text)[0], threshold)):
         return []
     hits = []
     for start, end in units(text):
@@ -279,15 +294,13 @@ def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[float, str,
         if found := best_match(own, threshold):
             hits.append((*found, start, end))
     words, starts, ends = placed_words(text)
-    index = templates()[1]
-    if sum(pair in index for pair in zip(words, words[1:], strict=False)) >= 2:
-        told = np.zeros(len(words))  # by the units that hold a word: bigrams shared, and the coefficient to decide between equal ones
-        for dice, _, n, start, end in hits:
-            own = slice(*np.searchsorted(starts, (start, end)))
-            told[own] = np.maximum(told[own], n + dice / 2)
-        for dice, key, first, last, n in windows(list(zip(words, words[1:], strict=False)), threshold):
-            if n + dice / 2 > told[first : last + 2].max():
-                hits.append((dice, key, n, starts[first], ends[last + 1]))
+    told = np.zeros(len(words))  # by the units that hold a word: bigrams shared, and the coefficient to decide between equal ones
+    for dice, _, n, start, end in hits:
+        own = slice(*np.searchsorted(starts, (start, end)))
+        told[own] = np.maximum(told[own], n + dice / 2)
+    for dice, key, first, last, n in windows(list(zip(words, words[1:], strict=False)), threshold):
+        if n + dice / 2 > told[first : last + 2].max():
+            hits.append((dice, key, n, starts[first], ends[last + 1]))
     return [(dice, key, start, end) for dice, key, _, start, end in hits]
 
 

@@ -33,9 +33,8 @@ STANDARD = [(k, t) for k, t in [*L.TEXTS.items(), *L.MORE_TEXTS, *L.OPENINGS] if
 
 @pytest.mark.parametrize("key", sorted(L.NAMES))
 def test_texts_within_longer_ones(key):
-    for own, text in STANDARD:
-        if own != key:
-            continue
+    known = [(k, t) for k, t in STANDARD if k == key]
+    for _, text in known[:: -(-len(known) // 12)]:
         for before, after in (("", PROSE * 30), (PROSE * 30, ""), (PROSE * 9, PROSE * 40), ("\n".join([PROSE] * 5) + "\n", "\n" + "\n".join([PROSE] * 5))):
             for body in (text, textwrap.fill(text, 60), text.upper()):
                 whole = f"{before}{body} {after}"
