@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -112,14 +113,23 @@ def plain_quotes(text: Column) -> Column:
     return F.translate(text, "’‘“”—–", "''\"\"--")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What `body` makes of a value, which is computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_gloss(text: Column, limit: int = 240) -> Column:
     """White space, quotes, broken words and outer punctuation put right; a long gloss is cut at its last break."""
-    out = F.regexp_replace(squash(plain_quotes(text)), r"\s+([,;.:!?])", "$1")
-    out = F.btrim(F.regexp_replace(out, r"(?<=\w)- (?=[a-z])", ""), F.lit(" ;,.:-"))
-    cut = F.left(out, F.lit(limit))
-    last = F.length(cut) - F.length(F.regexp_extract(cut, r"[^;, ]*\z", 0)) - 1
-    short = F.when(last > limit // 2, F.left(cut, last)).otherwise(cut)
-    return F.when(F.length(out) > limit, F.concat(F.btrim(short, F.lit(" ;,.:-")), F.lit(" ..."))).otherwise(out)
+    trimmed = F.regexp_replace(squash(plain_quotes(text)), r"\s+([,;.:!?])", "$1")
+    trimmed = F.btrim(F.regexp_replace(trimmed, r"(?<=\w)- (?=[a-z])", ""), F.lit(" ;,.:-"))
+
+    def cut(out: Column) -> Column:
+        head = F.left(out, F.lit(limit))
+        last = F.length(head) - F.length(F.regexp_extract(head, r"[^;, ]*\z", 0)) - 1
+        short = F.when(last > limit // 2, F.left(head, last)).otherwise(head)
+        return F.when(F.length(out) > limit, F.concat(F.btrim(short, F.lit(" ;,.:-")), F.lit(" ..."))).otherwise(out)
+
+    return let(trimmed, cut)
 
 
 def part_of_speech(raw: Column) -> Column:

@@ -160,19 +160,6 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("dictionary_lines")
-def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries written as dictionary lines of three layouts, recognised and taken apart again."""
-    from ..functions import entries as D
-
-    rows = entries(spark, sf_dir).select("ord", F.initcap("headword").alias("h"), "gloss")
-    layout = F.col("ord") % 3
-    line = F.when(layout == 0, F.concat("h", F.lit(", or Other, n. v. "), "gloss")).when(layout == 1, F.concat("h", F.lit(" (J). "), "gloss")).otherwise(F.concat("h", F.lit(". "), "gloss"))
-    found = F.coalesce(D.parts(line, "pos"), D.parts(line, "tag"), D.parts(line, "plain"))
-    taken = rows.select("ord", found.alias("p")).where("p IS NOT NULL")
-    return taken.select("ord", D.repaired(F.col("p.head")).alias("head"), F.size("p.alternatives").alias("n_spellings"), D.marked(F.col("p.mark")).alias("pos"), D.origin(F.col("p.mark")).alias("origin"), D.gloss(F.col("p.rest")).alias("gloss"))
-
-
 _TOKENS = f"array_to_string(list_filter(t, lambda x, i: i = 1 OR list_contains({_KEEP_SQL}, x) OR x <> t[i - 1]), ' ')"
 _SPELLED = f"""{LIST_WORDS}, {NAME_WORDS}, two AS (SELECT word, 0 AS list_no FROM list_words UNION ALL SELECT word, 1 FROM name_words),
   p AS (SELECT word, list_no, {_PIECES_SQL} AS p FROM two), raw AS (SELECT word, list_no, {_tokens_sql("p")} AS t FROM p), sp AS (SELECT word, list_no, {_TOKENS} AS tokens FROM raw WHERE NOT list_contains(list_transform(t, lambda x: x IS NULL), true))"""

@@ -6,7 +6,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.functions import entries as D
 from lexloom.operators import evaluation as E
 from lexloom.operators import gaps, layout, ordering, scoring, sequences, similarity
 
@@ -199,19 +198,6 @@ def test_nearest_is_brute_force(spark):
     assert out.count() == len(rows)
 
 
-def test_dictionary_lines(spark):
-    lines = ["Kamooks, or Kamuks, n. A dog. Ex. My dog.", "Son (C). A day or the sun of a day.", "Moola. A mill for sawing wood.", "lower, n. no", "Opitsah, n. (C) A knife."]
-    rows = spark.createDataFrame(list(enumerate(lines)), "i int, w string")
-    pos = [r.p for r in rows.select("i", D.parts(F.col("w"), "pos").alias("p")).orderBy("i").collect()]
-    assert pos[0].head == "Kamooks" and pos[0].alternatives == ["Kamooks", "Kamuks"] and pos[1] is None and pos[3] is None
-    one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(D.gloss(F.lit("A dog. Ex. My dog."))) == "A dog" and one(D.gloss(F.lit("Same as Fr. chien in all its uses. Second one. Third"))) == "Same as Fr. chien in all its uses"
-    assert one(D.closing(F.lit("(a (b) c) d"))) == 9 and one(D.closing(F.lit("(a"))) is None and one(D.closing(F.lit("a)"))) is None
-    assert tuple(one(D.without_parenthesis(F.lit("(a (b)) rest)")))) == ("a (b)", "rest)")
-    assert one(D.repaired(F.lit("K4m0oks"))) == "Kamooks" and one(D.repaired(F.lit("tSnse"))) == "tanse" and one(D.origin(F.lit("J"))) == "Jargon"
-    assert tuple(one(D.etymology(F.lit("Chinook, OPITSAKH. A knife.")))) == ("Chinook, OPITSAKH.", "A knife.")
-
-
 def test_pieces_are_those_of_a_flood_fill():
     rng = np.random.default_rng(2)
     for diagonal in (True, False):
