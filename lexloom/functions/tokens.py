@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import latin
+from .text import latin, let
 
 # Fixed values.
 #: token -> (code point of its sign or None, spellings)
@@ -170,69 +172,73 @@ def letter_class(letter: Column) -> Column:
     return F.when(letter.isin("^", "$", ""), letter).when(letter.isin(list(VOWELS)), "V").otherwise("C")
 
 
-def _vowel(letter: Column) -> Column:
-    return letter.isin(list(VOWELS))
-
-
-def _made(tokens: list[str]) -> Column:
-    return F.array(*(F.struct(F.lit(t).alias("token"), F.lit("").alias("letters"), F.lit("").alias("before"), F.lit("").alias("after")) for t in tokens))
-
-
-def _is_i(s: Column) -> Column:
-    return (s.token == "E") & s.letters.isin("i", "y")
-
-
-def _without(unwanted: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda src: F.filter(src, lambda s: ~unwanted(s))
-
-
-def _replaced(wanted: Callable[[Column, Column, Column], Column], tokens: list[str], length: int = 1) -> Callable[[Column], Column]:
-    """Places where wanted(src, entry, index) holds, and the next length - 1 entries, become `tokens`."""
-
-    def rewrite(src: Column) -> Column:
-        def entry(s: Column, i: Column) -> Column:
-            out = F.when(wanted(src, s, i), _made(tokens))
-            if length > 1:
-                out = out.when((i > 0) & F.coalesce(wanted(src, F.get(src, i - 1), i - 1), F.lit(False)), F.array().cast(SOURCED))
-            return out.otherwise(F.array(s))
-
-        return F.flatten(F.transform(src, entry))
-
-    return rewrite
-
-
-def _old(token: str, letters: list[str], tokens: list[str]) -> Callable[[Column], Column]:
-    return _replaced(lambda src, s, i: (s.token == token) & F.lower(s.letters).isin(letters), tokens)
-
-
-def _ts_h(src: Column, s: Column, i: Column) -> Column:
-    after = F.get(src, i + 1)
-    return (s.token == "TS") & F.coalesce((after.token == "H") & (after.letters == "h"), F.lit(False))
-
-
-def _drop_first(wanted: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    def rewrite(src: Column) -> Column:
-        first = F.array_min(F.filter(F.transform(src, lambda s, i: F.when(wanted(s), i)), lambda i: i.isNotNull()))
-        return F.filter(src, lambda s, i: first.isNull() | (i != first))
-
-    return rewrite
-
-
-#: Alternative spelling rules: each rewrites an array of token_sources. The last three are controls.
-REWRITES: dict[str, Callable[[Column], Column]] = {
-    "no i beside a vowel": _without(lambda s: _is_i(s) & (_vowel(s.before) | _vowel(s.after))),
-    "no i before a vowel": _without(lambda s: _is_i(s) & _vowel(s.after)),
-    "no i after a vowel only": _without(lambda s: _is_i(s) & _vowel(s.before) & ~_vowel(s.after)),
-    "iu as U": lambda src: F.filter(src, lambda s, i: ~((s.token == "E") & (s.letters == "i") & F.coalesce(F.get(src, i + 1).token == "U", F.lit(False)))),
-    "tsh as CH": _replaced(_ts_h, ["CH"], 2),
-    "tsh as TS": _replaced(_ts_h, ["TS"], 2),
-    "tsh as SH": _replaced(_ts_h, ["SH"], 2),
-    "z as TS": lambda src: F.transform(src, lambda s: F.when((s.token == "S") & (s.letters == "z"), F.struct(F.lit("TS").alias("token"), s.letters.alias("letters"), s.before.alias("before"), s.after.alias("after"))).otherwise(s)),
-    "tsh as TS H": _old("CH", ["tsh"], ["TS", "H"]),
-    "tch as T CH": _old("CH", ["tch"], ["T", "CH"]),
-    "iu, yu as E U": _old("U", ["iu", "yu"], ["E", "U"]),
-    "yoo as E OO": _old("U", ["yoo"], ["E", "OO"]),
-    "control: an i between consonants dropped": _drop_first(lambda s: (s.token == "E") & (s.letters == "i") & ~_vowel(s.before) & ~_vowel(s.after)),
-    "control: the first A dropped": _drop_first(lambda s: s.token == "A"),
-    "control: the first O dropped": _drop_first(lambda s: s.token == "O"),
+@dataclass(frozen=True)
+class Rewrite:
+    """Which entries of token_sources another spelling writes otherwise, and how.
+
+    token, letters: of the entry; before, after, beside: whether the letter before, after, or on either side is a vowel;
+    next: token and letters (or none) of the entry that follows; written: tokens that stand for the entry, and for the
+    next one too if `both`; first: only the first such entry is rewritten; keeps: the new token keeps letters and neighbours.
+    """
+
+    token: str
+    letters: tuple[str, ...] | None = None
+    before: bool | None = None
+    after: bool | None = None
+    beside: bool | None = None
+    next: tuple[str, str | None] | None = None
+    written: tuple[str, ...] = ()
+    both: bool = False
+    first: bool = False
+    keeps: bool = False
+
+    def fits(self, entry: Column, follows: Column) -> Column:
+        vowel = lambda letter: letter.isin(list(VOWELS))
+        tests = [entry["token"] == self.token]
+        if self.letters:
+            tests.append(F.lower(entry["letters"]).isin(list(self.letters)))
+        sides = [(self.before, vowel(entry["before"])), (self.after, vowel(entry["after"])), (self.beside, vowel(entry["before"]) | vowel(entry["after"]))]
+        tests += [side if wanted else ~side for wanted, side in sides if wanted is not None]
+        if self.next:
+            tests += [follows["token"] == self.next[0]] + ([follows["letters"] == self.next[1]] if self.next[1] else [])
+        return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+    def __call__(self, sources: Column) -> Column:
+        """The sources as the rule writes them."""
+        fitting = F.transform(sources, lambda s, i: self.fits(s, F.get(sources, i + 1)))
+
+        def written(hits: Column) -> Column:
+            here = (lambda i: i + 1 == F.array_position(hits, True)) if self.first else (lambda i: F.get(hits, i))
+            new = lambda s, t: F.struct(F.lit(t).alias("token"), *((s[c] if self.keeps else F.lit("")).alias(c) for c in ("letters", "before", "after")))
+            none = F.array().cast(SOURCED)
+
+            def entry(s: Column, i: Column) -> Column:
+                out = F.when(here(i), F.array(*(new(s, t) for t in self.written)) if self.written else none)
+                if self.both:
+                    out = out.when((i > 0) & here(F.greatest(i - 1, F.lit(0))), none)
+                return out.otherwise(F.array(s))
+
+            return F.flatten(F.transform(sources, entry))
+
+        return let(fitting, written)
+
+
+# Rules by which words may have been spelled otherwise. The old rules undo later ones; the controls delete a
+# sign that was surely written.
+REWRITES: dict[str, Rewrite] = {
+    "i_next_to_vowel_not_written": Rewrite("E", ("i", "y"), beside=True),
+    "i_before_vowel_not_written": Rewrite("E", ("i", "y"), after=True),
+    "i_after_vowel_not_written": Rewrite("E", ("i", "y"), before=True, after=False),
+    "iu_is_U_alone": Rewrite("E", ("i",), next=("U", None)),
+    "tsh_is_CH": Rewrite("TS", next=("H", "h"), written=("CH",), both=True),
+    "tsh_is_TS_without_H": Rewrite("TS", next=("H", "h"), written=("TS",), both=True),
+    "tsh_is_SH": Rewrite("TS", next=("H", "h"), written=("SH",), both=True),
+    "z_is_TS (old rule)": Rewrite("S", ("z",), written=("TS",), keeps=True),
+    "tsh_is_TS_H (old rule)": Rewrite("CH", ("tsh",), written=("TS", "H")),
+    "tch_is_T_CH (old rule)": Rewrite("CH", ("tch",), written=("T", "CH")),
+    "iu_yu_is_E_U (old rule)": Rewrite("U", ("iu", "yu"), written=("E", "U")),
+    "yoo_is_E_OO (old rule)": Rewrite("U", ("yoo",), written=("E", "OO")),
+    "control: drop an i with no vowel beside it": Rewrite("E", ("i",), before=False, after=False, first=True),
+    "control: drop the first A": Rewrite("A", first=True),
+    "control: drop the first O": Rewrite("O", first=True),
 }

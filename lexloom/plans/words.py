@@ -104,13 +104,34 @@ def token_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("s.token").alias("token"), F.col("s.letters").alias("letters"), context.alias("context")).agg(F.count("*").alias("n"), F.countDistinct("word").alias("n_words"))
 
 
-@query("spelling_rewrites")
+def _rewritten_sql(rule: K.Rewrite) -> str:
+    """The tokens that a rule makes of src."""
+
+    def fits(i: str) -> str:
+        tests = [f"src[{i}].token = '{rule.token}'"]
+        if rule.letters:
+            tests.append(f"src[{i}].letters IN ({', '.join(map(repr, rule.letters))})")
+        sides = {"before": f"(src[{i}].context[1] = 'V')", "after": f"(src[{i}].context[-1] = 'V')", "beside": f"contains(src[{i}].context, 'V')"}
+        tests += [("" if wanted else "NOT ") + sides[name] for name in sides if (wanted := getattr(rule, name)) is not None]
+        if rule.next:
+            tests += [f"src[{i} + 1].token = '{rule.next[0]}'"] + ([f"src[{i} + 1].letters = '{rule.next[1]}'"] if rule.next[1] else [])
+        return f"coalesce({' AND '.join(tests)}, false)"
+
+    here = (lambda i: f"{i} = list_position(list_transform(src, lambda s, k: {fits('k')}), true)") if rule.first else fits
+    after = f" WHEN i > 1 AND {here('(i - 1)')} THEN []" if rule.both else ""
+    return f"flatten(list_transform(src, lambda s, i: CASE WHEN coalesce({here('i')}, false) THEN {list(rule.written)}::VARCHAR[]{after} ELSE [s.token] END))"
+
+
+@query(
+    "spelling_rewrites",
+    f"WITH {SOURCES}, rw AS (" + " UNION ALL ".join(f"SELECT word, '{name}' AS rule, list_transform(src, lambda s: s.token) AS now, {_rewritten_sql(rule)} AS alternative FROM sources" for name, rule in K.REWRITES.items()) + ") SELECT rule, count_if(now <> alternative) AS n_changed, count(*) AS n_words, count(DISTINCT array_to_string(alternative, ' ')) AS n_spellings FROM rw GROUP BY rule",
+)
 def spelling_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many list words each alternative spelling rule changes."""
     src = list_words(spark, sf_dir).withColumn("src", K.token_sources(F.col("word")))
     names = lambda x: F.array_join(F.transform(x, lambda s: s.token), " ")
     rows = src.select("word", names(F.col("src")).alias("now"), F.explode(F.create_map(*(x for name, f in K.REWRITES.items() for x in (F.lit(name), names(f(F.col("src"))))))).alias("rule", "alternative"))
-    return rows.groupBy("rule").agg(F.count_if(F.col("now") != F.col("alternative")).alias("n_changed"), F.count("*").alias("n_words"))
+    return rows.groupBy("rule").agg(F.count_if(F.col("now") != F.col("alternative")).alias("n_changed"), F.count("*").alias("n_words"), F.count_distinct("alternative").alias("n_spellings"))
 
 
 @query("grade_filter", f"WITH {ENTRIES} SELECT conf, source, count(*) AS n FROM entries WHERE conf <= 'B' AND source_no < 10 GROUP BY conf, source")

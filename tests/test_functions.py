@@ -42,8 +42,9 @@ def test_sources_and_rewrites(spark):
     ((rows,),) = values(spark, ["piah"], K.token_sources(F.col("w")))
     assert [tuple(r) for r in rows] == [("P", "p", "^", "i"), ("E", "i", "p", "a"), ("A", "a", "i", "h"), ("H", "h", "a", "$")]
     cases = {
-        "no i beside a vowel": ("piah", "P A H"), "no i after a vowel only": ("laik", "L A K"), "tsh as TS H": ("itshut", "E TS H U T"), "z as TS": ("zak", "TS A K"),
-        "iu, yu as E U": ("yuka", "E U K A"), "control: the first A dropped": ("kapala", "K P A L A"), "tch as T CH": ("atcha", "A T CH A"),
+        "i_next_to_vowel_not_written": ("piah", "P A H"), "i_after_vowel_not_written": ("laik", "L A K"), "i_before_vowel_not_written": ("laikia", "L A E K A"), "tsh_is_TS_H (old rule)": ("itshut", "E TS H U T"), "z_is_TS (old rule)": ("zak", "TS A K"),
+        "iu_yu_is_E_U (old rule)": ("yuka", "E U K A"), "control: drop the first A": ("kapala", "K P A L A"), "tch_is_T_CH (old rule)": ("atcha", "A T CH A"), "yoo_is_E_OO (old rule)": ("yook", "E OO K"),
+        "control: drop an i with no vowel beside it": ("laikipi", "L A E K P E"), "control: drop the first O": ("mama", "M A M A"),
     }
     for name, (word, expected) in cases.items():
         ((got,),) = values(spark, [word], F.array_join(F.transform(K.REWRITES[name](K.token_sources(F.col("w"))), lambda s: s.token), " "))
@@ -52,7 +53,7 @@ def test_sources_and_rewrites(spark):
 
 def test_rewrite_of_two_tokens(spark):
     made = "array(named_struct('token','TS','letters','ts','before','^','after','h'), named_struct('token','H','letters','h','before','s','after','a'), named_struct('token','A','letters','a','before','h','after','$'))"
-    ((got,),) = values(spark, ["x"], F.transform(K.REWRITES["tsh as CH"](F.expr(made)), lambda s: s.token))
+    ((got,),) = values(spark, ["x"], F.transform(K.REWRITES["tsh_is_CH"](F.expr(made)), lambda s: s.token))
     assert got == ["CH", "A"]
 
 
