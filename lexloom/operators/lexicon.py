@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import headword_key, skeleton
@@ -15,17 +15,21 @@ MOST_IN_CLUSTER = 8
 MOST_VARIANTS, MOST_GLOSSES, MOST_SIBLINGS = 14, 6, 10
 
 
-def first_distinct(rows: DataFrame, keys: list[str], values: dict[str, Column], order: str, fold: dict[str, Column] | None = None) -> DataFrame:
+def first_distinct(rows: DataFrame, keys: list[str], values: dict[str, Column], order: str, fold: dict[str, Column] | None = None, most: dict[str, int] | None = None) -> DataFrame:
     """For each key, an array of the distinct values of each name, in the order in which they come first.
 
     values: name -> value of a row (null or empty ones are left out); fold: name -> what makes values equal, if not the
-    value itself (of equal ones the first is kept). Values are made distinct by a partial aggregation before they are
-    gathered, so a hot key gathers its distinct values only.
+    value itself (of equal ones the first is kept); most: name -> how many are kept. Values are made distinct by a
+    partial aggregation, and ranked if they are bounded, before they are gathered, so a hot key gathers no more than that.
     """
     fold = fold or {}
     pairs = F.array(*(F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"), fold.get(n, v).cast("string").alias("same")) for n, v in values.items()))
     long = rows.select(*keys, F.col(order).alias("__ord"), F.explode(pairs).alias("__p")).where("__p.value <> ''")
     once = long.groupBy(*keys, F.col("__p.name").alias("__name"), F.col("__p.same").alias("__same")).agg(F.min(F.struct("__ord", "__p.value")).alias("__first"))
+    if most:
+        limits = F.create_map(*(F.lit(x) for pair in most.items() for x in pair))
+        place = F.row_number().over(Window.partitionBy(*keys, "__name").orderBy("__first"))
+        once = once.withColumn("__n", place).where(F.col("__n") <= F.coalesce(F.element_at(limits, F.col("__name")), F.lit(2**31 - 1)))
     gathered = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__first", "__name"))).alias("__all"))
     pick = lambda n: F.transform(F.filter("__all", lambda x: x["__name"] == n), lambda x: x["__first"]["value"])
     return gathered.select(*keys, *(pick(n).alias(n) for n in values))
@@ -59,10 +63,13 @@ def merge_graded(entries: DataFrame) -> DataFrame:
         {"variants": F.col("head"), "good_sources": F.when(good, F.col("source")), "weak_sources": F.when(~good, F.col("source")), "glosses": F.when(good, F.col("gloss"))},
         "ord",
         {"glosses": F.when(good, F.lower("gloss"))},
+        {"variants": MOST_VARIANTS, "glosses": MOST_GLOSSES},
     )
     facts = entries.groupBy("headword").agg(F.min("conf").alias("best_conf"), F.coalesce(F.bool_or(F.col("flagged") & good), F.lit(False)).alias("flagged"), F.coalesce(F.bool_or(F.col("flagged") & ~good), F.lit(False)).alias("weak_flag"), F.count_if(good).alias("n_good"))
     rows = facts.join(lists, "headword").withColumn("skeleton", skeleton(F.col("headword")))
-    members = clusters(rows.where("n_good > 0").select("headword"))
+    # a head's siblings are among the first of its skeleton, itself left out
+    place = F.row_number().over(Window.partitionBy("skeleton").orderBy("headword"))
+    members = in_clusters(rows.where("n_good > 0").select("headword")).withColumn("__n", place).where(F.col("__n") <= MOST_SIBLINGS + 1).groupBy("skeleton").agg(F.array_sort(F.collect_list("headword")).alias("members"))
     weak = F.array_except("weak_sources", "good_sources")
     notes = F.concat_ws("; ", F.when(F.size(weak) > 0, F.concat(F.lit("unvalidated_candidates_in="), F.array_join(weak, "/"))), F.when(F.col("weak_flag") & ~F.col("flagged"), "flagged_candidate_only"))
     siblings = F.slice(F.array_remove(F.coalesce("members", F.array().cast("array<string>")), F.col("headword")), 1, MOST_SIBLINGS)
@@ -73,10 +80,8 @@ def merge_graded(entries: DataFrame) -> DataFrame:
 
 
 def clusters(heads: DataFrame) -> DataFrame:
-    """(skeleton, members, n): single-word heads by skeleton; those of one letter, or of two with too many heads, are left out."""
-    keyed = heads.select("headword").distinct().where(~F.contains("headword", F.lit(" "))).withColumn("skeleton", skeleton(F.col("headword"))).where(F.length("skeleton") >= 2)
-    found = keyed.groupBy("skeleton").agg(F.array_sort(F.collect_list("headword")).alias("members"), F.count("*").alias("n"))
-    return found.where((F.length("skeleton") >= 3) | (F.col("n") <= MOST_IN_CLUSTER))
+    """(skeleton, members, n): single-word heads by skeleton; those of one letter, or of two with too many heads, are left out before they are gathered."""
+    return in_clusters(heads).groupBy("skeleton").agg(F.array_sort(F.collect_list("headword")).alias("members"), F.count("*").alias("n"))
 
 
 def in_clusters(heads: DataFrame) -> DataFrame:
