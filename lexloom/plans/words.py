@@ -10,13 +10,14 @@ from ..functions import text as X
 from ..functions import tokens as K
 from ..operators import wordlist as W
 from .registry import query
-from .tables import DOC_WORDS, ENTRIES, LIST_WORDS, NAME_WORDS, doc_words, entries, list_words, name_words, table
+from .tables import DOC_WORDS, ENTRIES, LIST_WORDS, NAME_WORDS, entries, list_words, name_words, table
 
 
 @query("word_split_counts", f"WITH {DOC_WORDS} SELECT lang, split, count(*) AS n_words, count(DISTINCT key) AS n_keys FROM (SELECT lang, key, {Q.split_of('key')} AS split FROM doc_words) GROUP BY lang, split")
 def word_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # words are counted by key first, so that each key is hashed once and the second shuffle carries counts
-    counts = doc_words(spark, sf_dir).groupBy("lang", "key").agg(F.count("*").alias("n"))
+    # words are counted as they stand first, so that each is keyed and each key hashed once, and shuffles carry counts
+    raw = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", r"[ \t\r\n]+")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = raw.groupBy("lang", X.word_key(F.col("word")).alias("key")).agg(F.sum("n").alias("n")).where("key <> ''")
     return counts.withColumn("split", X.split_of(F.col("key"))).groupBy("lang", "split").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_keys"))
 
 
