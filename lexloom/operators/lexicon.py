@@ -141,9 +141,22 @@ def fuzzy(queries: DataFrame, merged: DataFrame, max_dist: int = 2, limit: int =
     return keyed.join(numbered(ranked, ["key"], order, "rank"), "key").select("q", "headword", "distance", "rank")
 
 
-def overlap(entries: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, n_both): headwords of each pair of sources that share one."""
+def first_gloss(queries: DataFrame, merged: DataFrame, variants: DataFrame, gloss: str = "glosses") -> DataFrame:
+    """queries (q) with the first gloss of the headword that they lead to; empty if they lead to none or it has none."""
+    told = merged.select("headword", F.get(gloss, F.lit(0)).alias("__gloss"))
+    return lookup(queries, merged, variants).join(told, "headword", "left").select(*queries.columns, F.coalesce("__gloss", F.lit("")).alias("gloss"))
+
+
+def sound_keys(entries: DataFrame) -> DataFrame:
+    """(source, key): what the heads of each source count as: their skeleton where it tells something, else the head itself."""
     pairs = entries.select("source", "headword").distinct()
+    known = in_clusters(pairs.select("headword")).withColumnRenamed("skeleton", "__sk")
+    return pairs.join(known, "headword", "left").select("source", F.coalesce("__sk", F.concat(F.lit("h:"), "headword")).alias("key")).distinct()
+
+
+def overlap(entries: DataFrame, key: str = "headword") -> DataFrame:
+    """(a, b, n_a, n_b, n_both): keys of each pair of sources that share one."""
+    pairs = entries.select("source", F.col(key).alias("headword")).distinct()
     sizes = pairs.groupBy("source").agg(F.count("*").alias("n"))
     # the sources of a word are few; pairs are counted per word, without joining words with themselves
     sets = pairs.groupBy("headword").agg(F.array_sort(F.collect_list("source")).alias("s")).where(F.size("s") > 1)

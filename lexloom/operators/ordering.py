@@ -26,6 +26,14 @@ def positions(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame
     return placed.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__before") + F.col("__id").bitwiseAND(2**33 - 1)).alias(name))
 
 
+def subset(tables: list[DataFrame], order: list[str], places: DataFrame | None = None) -> DataFrame:
+    """The rows of the tables, one after the other, with their 0-based place; of these only `places` (pos) if given."""
+    from .similarity import union_in_order
+
+    placed = positions(union_in_order(*tables), ["list_no", *order])
+    return placed if places is None else placed.join(places.select("pos").distinct(), "pos", "left_semi")
+
+
 def shard(rows: DataFrame, keys: list[str], order: list, start: int, step: int) -> DataFrame:
     """Every step-th row of each key, beginning with the row at place `start` from 0."""
     n = F.col("__n") - 1

@@ -52,3 +52,9 @@ def without_leaks(rows: DataFrame, split: str, key: str) -> DataFrame:
 def trainable(entries: DataFrame, headword: str, conf: str, test_share: float = 0.2) -> DataFrame:
     """Words for made-up samples: letters only, graded A or B, and not in the test side of the default seed, whatever seed a run uses."""
     return entries.where(F.col(headword).rlike("^[a-z]+$") & F.col(conf).isin("A", "B") & (split_of(F.col(headword), test_share) != "test"))
+
+
+def sides(rows: DataFrame, word: str, copy_of: str, seed: str = "v0", test_share: float = 0.2) -> DataFrame:
+    """rows with split; a copy of another row is never a test row, so it is left out where its word is one."""
+    split = split_of(F.col(word), test_share, seed)
+    return rows.withColumn("split", split).where((F.col("split") != "test") | F.col(copy_of).isNull())

@@ -187,10 +187,18 @@ def book_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.summary(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50, F.col("value"))
 
 
-@query("frequent_heads", f"WITH {DOC_WORDS} SELECT key, count(*) AS n FROM doc_words GROUP BY key ORDER BY n DESC, key LIMIT 100")
+@query(
+    "frequent_heads",
+    f"""WITH w AS (SELECT doc_id, i, {Q.word_key("w")} AS key FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\r\\n]+')) AS w, generate_subscripts(string_split_regex(text, '[ \\t\\r\\n]+'), 1) AS i FROM documents))
+    SELECT key, count(*) AS n FROM w WHERE key <> '' GROUP BY key ORDER BY n DESC, min((doc_id, i)) LIMIT 100""",
+)
 def frequent_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 most frequent words: a top-k report."""
-    return doc_words(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(100)
+    """The 100 most frequent words, of equal ones those seen first: a top-k report."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \t\r\n]+")).alias("i", "word"))
+    # raw words are counted first, so that each is keyed once
+    raw = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("at"))
+    keyed = raw.groupBy(word_key(F.col("word")).alias("key")).agg(F.sum("n").alias("n"), F.min("at").alias("at")).where("key <> ''")
+    return keyed.orderBy(F.desc("n"), "at").limit(100).select("key", "n")
 
 
 MARGINS = [0.0, 100.0, 1000.0, 10000.0]
