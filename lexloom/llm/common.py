@@ -91,18 +91,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes that are hashed at a time, or a single longer range.
+HASH_BYTES = 1 << 20
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end]; the ranges are in order and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, side="right")))
+        first = int(starts[at])
+        out[at:to] = _hash_piece(data[first : int(ends[to - 1])], starts[at:to] - first, ends[at:to] - first)
+        at = to
+    return out
+
+
+def _hash_piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     powers = np.full(int(lengths.max()) + 1, BASE)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
     bounds = np.append(starts, len(data))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(bounds))
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(bounds))
     inside = place < np.repeat(lengths, np.diff(bounds))
-    codes = np.zeros(len(data) - int(starts[0]) + 1, np.uint64)
-    codes[:-1][inside] = _BYTE_CODES[data[int(starts[0]) :][inside]] * powers[place[inside]]
-    sums = np.add.reduceat(codes, starts - starts[0])
+    codes = np.zeros(len(data) + 1, np.uint64)
+    codes[:-1][inside] = _BYTE_CODES[data[inside]] * powers[place[inside]]
+    sums = np.add.reduceat(codes, starts)
     return mix(np.where(lengths > 0, sums, np.uint64(0)) ^ mix(lengths.astype(np.uint64)))
+
+
+def count_in(held: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of held[start:end] are set; the ranges are in order and don't overlap. Takes a byte for each byte of text."""
+    out = np.zeros(len(starts), np.int64)
+    some = np.flatnonzero(ends > starts)
+    if len(some):
+        bounds = np.column_stack((starts[some], ends[some])).ravel()
+        out[some] = np.add.reduceat(np.append(held, False), bounds, dtype=np.int64)[::2]
+    return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-from .common import BASE, byte_pieces, fields, hash_ranges, list_array, mix, table
+from .common import BASE, byte_pieces, count_in, fields, hash_ranges, list_array, mix, table
 
 PIECE_BYTES = 2_000_000
 #: The training sample: documents of each quality, and runs of lines of each document.
@@ -94,10 +94,9 @@ class Stats:
         doc = np.searchsorted(offsets, starts, side="right") - 1
         lead = ((data & 0xC0) != 0x80) & ~gap
         kinds = _CLASS[data]
-        at = np.concatenate(([0], np.cumsum(lead, dtype=np.int64)))
-        self.word_chars = at[offsets[1:]] - at[offsets[:-1]]
-        symbols = np.concatenate(([0], np.cumsum(kinds == 1, dtype=np.int64)))
-        self.n_symbols = symbols[offsets[1:]] - symbols[offsets[:-1]]
+        del begin, stop, gap
+        self.word_chars = count_in(lead, offsets[:-1], offsets[1:])
+        self.n_symbols = count_in(kinds == 1, offsets[:-1], offsets[1:])
         self.n_words = np.bincount(doc, minlength=n)
         # words in windows that the text holds twice or more
         words = hash_ranges(data, starts, ends)
@@ -130,12 +129,11 @@ class Stats:
         self.words = line_words[self.full]
 
         def share(of: np.ndarray, by: np.ndarray) -> np.ndarray:
-            upto = np.concatenate(([0], np.cumsum(of, dtype=np.int64)))
-            return (upto[full_ends] - upto[full_starts]) / np.maximum(by, 1)
+            return count_in(of, full_starts, full_ends) / np.maximum(by, 1)
 
-        chars = at[full_ends] - at[full_starts]
-        letters = share((kinds == 2) | (kinds == 3), np.ones(len(self.full)))
-        symbol, capital, digit = (symbols[full_ends] - symbols[full_starts]) / np.maximum(chars, 1), share(kinds == 2, letters), share(kinds == 4, chars)
+        chars = count_in(lead, full_starts, full_ends)
+        letters = count_in((kinds == 2) | (kinds == 3), full_starts, full_ends)
+        symbol, capital, digit = share(kinds == 1, chars), share(kinds == 2, letters), share(kinds == 4, chars)
         pipe, cry = share(data == ord("|"), chars), share(kinds == 5, chars)
         mean = chars / np.maximum(self.words, 1)
         marks = [symbol > 0.02, symbol > 0.08, capital > 0.4, capital > 0.8, digit > 0.3, pipe > 0.02, cry > 0.04]
