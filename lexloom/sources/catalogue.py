@@ -1,47 +1,18 @@
-"""A data source for catalogues of items and their files: `spark.read.format("catalogue").option("path", ...)`.
+"""Catalogues of items and their files: JSON documents {"identifier": ..., "files": [{"name": ..., "format": ...}, ...]}.
 
-It lists items from JSON documents of the form {"identifier": ..., "files": [{"name": ..., "format": ...}, ...]}. A
-catalogue that is reached over a network would be read by another reader in the same place; none is built here, as
-nothing can be fetched.
+They are read by Spark, so any store that it reads will do. A catalogue that is reached over a network has first to be
+stored as such documents; nothing is fetched here.
 """
 
 from __future__ import annotations
 
-import glob
-import json
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+SCHEMA = "identifier string, files array<struct<name:string,format:string,size:string,md5:string>>"
 
 
-class CatalogueSource(DataSource):
-    """One partition for each document."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "catalogue"
-
-    def schema(self) -> str:
-        return "item string, name string, format string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return CatalogueReader(self.options)
-
-
-class CatalogueReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = sorted(glob.glob(options["path"]))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            item = json.load(f)
-        for file in item.get("files", []):
-            yield item["identifier"], file["name"], file.get("format")
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(CatalogueSource)
+def items(spark: SparkSession, path: str) -> DataFrame:
+    """(item, name, format, size, md5): the files of each item."""
+    found = spark.read.schema(SCHEMA).json(path, multiLine=True).select(F.col("identifier").alias("item"), F.inline("files"))
+    return found.withColumn("size", F.col("size").cast("bigint"))

@@ -11,12 +11,12 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_list, confidence
+from .writers import unpack_pages
 
 LEXICON = "headword string, variants string, gloss_en string, gloss_fr string, pos string, source_key string, source_page string, kamloops string, notes string"
 WORD_LIST = "headword string, best_conf string, tokens string, source string"
@@ -60,13 +60,13 @@ def json_lines(spark: SparkSession, path: str, schema: str = ANNOTATION) -> Data
 
 
 def alignment(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment rows, with ordinary quoting."""
-    return spark.read.schema(ALIGNMENT).csv(path, sep="\t", header=True).fillna("")
+    """Alignment rows, with ordinary quoting: a quote within quotes is doubled."""
+    return spark.read.schema(ALIGNMENT).csv(path, sep="\t", header=True, escape='"').fillna("")
 
 
-def readings(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each word of page files, with its book, leaf and file facts."""
-    pages = spark.read.schema(READING_FILE).json(path, multiLine=True).withColumn("file", F.input_file_name())
+def readings(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """A row for each word of page files, with its book, leaf and file facts. one_line: each line of a file is a page, so that large files are split."""
+    pages = spark.read.schema(READING_FILE).json(path, multiLine=not one_line).withColumn("file", F.input_file_name())
     return pages.select("file", "item", "leaf", "scale", "pair_penalty", "joins", F.inline("words"))
 
 
@@ -86,47 +86,36 @@ def yaml_table(spark: SparkSession, path: str, key: str, schema: str) -> DataFra
     return spark.createDataFrame([(name, *(spec.get(c) for c in names[1:])) for name, spec in entries.items()], schema)
 
 
+def _in_files(rows: DataFrame, name: str) -> DataFrame:
+    """rows (file, block, ...) with their 0-based place in their file. Files are read in blocks, and a block's rows in their order; blocks are counted apart, so no task holds a file."""
+    rows = rows.withColumn("__id", F.monotonically_increasing_id())
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("__id"))
+    return rows.withColumn("__place", place).join(sizes.select("file", "block", before.alias("__before")), ["file", "block"]).withColumn(name, (F.col("__before") + F.col("__place") - 1).cast("int")).drop("__id", "__place", "__before", "block")
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): lines of text files; a form feed ends a line, carriage returns are dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.translate("value", "\f\r", "\n").alias("text"))
-    return whole.select("file", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(file, line_no, line): lines of text files; a form feed ends a line, carriage returns are dropped, and after the last line feed there is no line."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.explode(F.split(F.translate("value", "\r", ""), "\f")).alias("line"))
+    return _in_files(rows, "line_no").select("file", "line_no", "line")
 
 
 def word_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """(page, page_w, page_h, word_no, text, x0, ytop, x1, ybottom): words of recognised pages; coordinates are x0, ybottom, x1, ytop in the file."""
+    """(file, page, page_w, page_h, word_no, text, x0, ytop, x1, ybottom): words of recognised pages, numbered in their file from 0; coordinates are x0, ybottom, x1, ytop in the file."""
     schema = "_width int, _height int, HIDDENTEXT struct<PAGECOLUMN:array<struct<REGION:array<struct<PARAGRAPH:array<struct<LINE:array<struct<WORD:array<struct<_VALUE:string,_coords:string>>>>>>>>>>>, WORD array<struct<_VALUE:string,_coords:string>>"
-    pages = spark.read.format("xml").option("rowTag", "OBJECT").schema(schema).load(path).withColumn("page", F.monotonically_increasing_id())
+    read = spark.read.format("xml").option("rowTag", "OBJECT").schema(schema).load(path)
+    pages = _in_files(read.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")), "page")
     lines = F.flatten(F.flatten(F.flatten(F.transform("HIDDENTEXT.PAGECOLUMN", lambda c: F.transform(c["REGION"], lambda r: F.transform(r["PARAGRAPH"], lambda p: p["LINE"]))))))
     nested = F.flatten(F.transform(lines, lambda x: x["WORD"]))
-    words = pages.select("page", F.col("_width").alias("page_w"), F.col("_height").alias("page_h"), F.posexplode(F.coalesce("WORD", nested)).alias("word_no", "w"))
+    words = pages.select("file", "page", F.col("_width").alias("page_w"), F.col("_height").alias("page_h"), F.posexplode(F.coalesce("WORD", nested)).alias("word_no", "w"))
     at = F.split("w._coords", ",").cast("array<int>")
-    return words.select("page", "page_w", "page_h", "word_no", F.trim(F.col("w._VALUE")).alias("text"), at[0].alias("x0"), at[3].alias("ytop"), at[2].alias("x1"), at[1].alias("ybottom"))
+    return words.select("file", "page", "page_w", "page_h", "word_no", F.trim(F.col("w._VALUE")).alias("text"), at[0].alias("x0"), at[3].alias("ytop"), at[2].alias("x1"), at[1].alias("ybottom"))
 
 
 def packed_crops(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, idx, box, h, w, pixels): the word images of packed pages, one row each."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                with np.load(io.BytesIO(content)) as page:
-                    shapes, flat = page["shapes"], page["flat"]
-                    ends = np.cumsum(shapes.prod(axis=1)) if len(shapes) else np.zeros(0, int)
-                    starts = ends - shapes.prod(axis=1)
-                    yield pd.DataFrame(
-                        {
-                            "file": [file] * len(shapes),
-                            "line": page["line"],
-                            "idx": page["index"],
-                            "box": list(page["boxes"]),
-                            "h": shapes[:, 0],
-                            "w": shapes[:, 1],
-                            "pixels": [flat[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
-                        }
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unpack, "file string, line int, idx int, box array<int>, h int, w int, pixels binary")
+    return unpack_pages(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), ["file"])
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -178,7 +167,7 @@ def select_files(files: DataFrame, kinds: list[str]) -> DataFrame:
             hits = hits.unionByName(files.where(FILE_KINDS["jp2"]).join(hits.select("item").distinct(), "item", "left_anti"))
         hits = hits.withColumn("kind_no", F.lit(order))
         out = hits if out is None else out.unionByName(hits)
-    return out.groupBy("item", "name").agg(F.min("kind_no").alias("kind_no"), F.first("format").alias("format"))
+    return out.groupBy("item", "name").agg(F.min("kind_no").alias("kind_no"), F.min("format").alias("format"))
 
 
 def names_list(lines: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def test_json_and_text(spark, tmp_path):
     assert [(r.line_no, r.line) for r in files.text_lines(spark, str(tmp_path / "text.txt")).orderBy("line_no").collect()] == [(0, "one"), (1, "two"), (2, "three")]
     (tmp_path / "page.xml").write_text('<d><OBJECT width="100" height="50"><LINE/><WORD coords="1,20,9,10">Hi </WORD><WORD coords="10,20,19,11">you</WORD></OBJECT></d>')
     boxes = files.word_boxes(spark, str(tmp_path / "page.xml")).orderBy("word_no").collect()
-    assert [(r.text, r.x0, r.ytop, r.x1, r.ybottom, r.page_w) for r in boxes] == [("Hi", 1, 10, 9, 20, 100), ("you", 10, 11, 19, 20, 100)]
+    assert {r.page for r in boxes} == {0} and [(r.text, r.x0, r.ytop, r.x1, r.ybottom, r.page_w) for r in boxes] == [("Hi", 1, 10, 9, 20, 100), ("you", 10, 11, 19, 20, 100)]
     (tmp_path / "names.txt").write_text("@\tignored\n1BC00\tSIGN H\n\t* a note\n\t* more\n1BC01\tSIGN X\n")
     names = {r.code: r for r in files.names_list(files.text_lines(spark, str(tmp_path / "names.txt"))).collect()}
     assert names[0x1BC00].name == "SIGN H" and names[0x1BC00].notes == ["* a note", "* more"] and names[0x1BC01].notes == []
@@ -39,6 +39,26 @@ def test_json_and_text(spark, tmp_path):
     assert sorted(r.code for r in files.key_codes(pages, "html").collect()) == [0x1BC02, 0x1BC05]
 
 
+def test_lines_and_pages_of_files_in_blocks(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for name, n in (("a.txt", 4_000), ("b.txt", 10)):
+        (tmp_path / "t" / name).write_text("".join(f"{name} line {i}\r\n" if i % 7 else f"{name} line {i}\f" for i in range(n)))
+    (tmp_path / "p.xml").write_text("<d>" + "".join(f'<OBJECT width="{i}" height="1"><WORD coords="1,2,3,4">w</WORD></OBJECT>\n' for i in range(500)) + "</d>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        lines = files.text_lines(spark, str(tmp_path / "t"))
+        assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 1
+        rows = lines.collect()
+        for name, n in (("a.txt", 4_000), ("b.txt", 10)):
+            own = sorted((r.line_no, r.line) for r in rows if r.file.endswith(name))
+            assert own == [(i, f"{name} line {i}") for i in range(n)]
+        pages = files.word_boxes(spark, str(tmp_path / "p.xml")).collect()
+        assert sorted((r.page, r.page_w) for r in pages) == [(i, i) for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_yaml(spark, tmp_path):
     yaml = pytest.importorskip("yaml")
     (tmp_path / "t.yaml").write_text(yaml.safe_dump({"tokens": {"P": {"latin": ["p"], "sign": "P"}, "DH": {"latin": []}}}))
@@ -68,8 +88,7 @@ def test_archives_and_crops(spark, tmp_path):
 def test_selection_and_specs(spark, tmp_path):
     (tmp_path / "i1.json").write_text(json.dumps({"identifier": "i1", "files": [{"name": "i1_jp2.zip"}, {"name": "i1_djvu.txt"}, {"name": "history/x_djvu.txt"}]}))
     (tmp_path / "i2.json").write_text(json.dumps({"identifier": "i2", "files": [{"name": "i2_orig_jp2.tar"}, {"name": "i2_jp2.zip"}]}))
-    catalogue.register(spark)
-    listed = spark.read.format("catalogue").option("path", str(tmp_path / "*.json")).load()
+    listed = catalogue.items(spark, str(tmp_path / "*.json"))
     assert sorted(r.name for r in files.select_files(listed, ["orig", "text"]).collect()) == ["i1_djvu.txt", "i1_jp2.zip", "i2_orig_jp2.tar"]
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(files.number_ranges(F.lit("15-18,130"))) == [15, 16, 17, 18, 130]
