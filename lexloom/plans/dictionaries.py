@@ -21,7 +21,7 @@ def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.array_join(F.filter(F.transform(F.split("gloss", " "), word_key), lambda w: w != ""), " ")
     printed = F.array(F.struct((F.col("ord") * 2).alias("line_no"), F.concat(F.initcap("headword"), F.lit(", or Other, n. v.")).alias("line")), F.struct((F.col("ord") * 2 + 1).alias("line_no"), F.concat(F.lit("Word "), plain).alias("line")))
     pages = rows.select(F.col("source").alias("volume"), F.inline(printed))
-    around = F.array(F.struct(F.lit(-1).cast("bigint").alias("line_no"), F.lit("PART I. CHINOOK-ENGLISH.").alias("line")), F.struct(F.lit(2**62).alias("line_no"), F.lit("ENGLISH-CHINOOK.").alias("line")))
+    around = F.array(F.struct(F.lit(-1).cast("bigint").alias("line_no"), F.lit("PART I. CHINOOK-ENGLISH.").alias("line")), F.struct(F.lit(2**63 - 1).alias("line_no"), F.lit("ENGLISH-CHINOOK.").alias("line")))
     volumes = rows.select(F.col("source").alias("volume")).distinct().select("volume", F.inline(around))
     found = B.parse(pages.unionByName(volumes), next(x for x in B.LAYOUTS if x.source == "gibbs1863"))
     told = found.select(F.col("ord.volume").alias("source"), "head", F.size("variants").alias("n_spellings"), "pos", F.col("gloss_en").alias("gloss"), "page")

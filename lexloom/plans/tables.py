@@ -27,7 +27,8 @@ DOC_WORDS = f"""doc_words AS (
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as dictionary entries: the first word is the head, the next six are its gloss.
 
-    (doc_id, source, source_no, line_no, ord, head, headword, gloss, conf, flagged); ord: order of sources, then of lines.
+    (doc_id, source, source_no, line_no, ord, head, headword, gloss, conf, flagged); ord: order of sources, then of lines,
+    as one number; a source, document or line number that has no room in it stops the run.
     conf: A for a document labelled good, C for one labelled bad, else B.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -37,14 +38,16 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", "source", "line_no", F.col("words")[0].alias("head"), F.array_join(F.slice("words", 2, 6), " ").alias("gloss"))
     rows = rows.withColumn("headword", X.headword_key(F.col("head"))).where("headword <> ''").join(labels, "doc_id", "left")
     number = F.substring("source", 4, 10).cast("int")
+    room = number.between(0, 31) & F.col("doc_id").between(0, 2**37 - 1) & (F.col("line_no") < 2**20)
+    place = F.when(room, number * F.lit(2**57) + F.col("doc_id") * 2**20 + F.col("line_no")).when(~room, F.raise_error(F.lit("a number is too large for ord")).cast("bigint"))
     return rows.select(
-        "doc_id", "source", number.alias("source_no"), "line_no", (number * F.lit(10**14) + F.col("doc_id") * 10**5 + F.col("line_no")).alias("ord"),
+        "doc_id", "source", number.alias("source_no"), "line_no", place.alias("ord"),
         "head", "headword", "gloss", F.when(F.col("quality") == 1, "A").when(F.col("quality") == 0, "C").otherwise("B").alias("conf"), (number % 4 == 0).alias("flagged"),
     )
 
 
 ENTRIES = f"""entries AS (
-  SELECT e.doc_id, source, source_no, line_no, source_no * 100000000000000 + e.doc_id * 100000 + line_no AS ord, head, headword, gloss,
+  SELECT e.doc_id, source, source_no, line_no, source_no * 144115188075855872 + e.doc_id * 1048576 + line_no AS ord, head, headword, gloss,
     CASE quality WHEN 1 THEN 'A' WHEN 0 THEN 'C' ELSE 'B' END AS conf, source_no % 4 = 0 AS flagged
   FROM (SELECT doc_id, source, substr(source, 4)::INT AS source_no, line_no - 1 AS line_no, words[1] AS head, array_to_string(words[2:7], ' ') AS gloss, {Q.headword_key("words[1]")} AS headword
     FROM (SELECT doc_id, source, line_no, list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda w: w <> '') AS words
