@@ -47,13 +47,36 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_type", gap.alias("gap"), F.lit(100.0).alias("height"))
 
 
-@query("gap_valley")
+def _thresholds(key: str) -> str:
+    """SQL for the thresholds of each key's gaps in minutes, of a height of 100: (key, n_gaps, threshold, method, small_mode, large_mode, otsu)."""
+    return f"""{EVENTS}, ga AS (SELECT {key}, (us - lag(us) OVER ({LINE})) / 60000000.0 AS gap FROM ev), gc AS (SELECT {key}, ln(gap) AS l, gap, count(*) AS c FROM ga WHERE gap >= 1 GROUP BY ALL),
+    gs AS (SELECT {key}, sum(c) AS n, min(l) AS lo, max(l) AS hi FROM gc GROUP BY {key}), de AS (SELECT {key}, i, lo - 0.5 + i * (hi - lo + 1) / 399 AS x, sum(c * exp(-0.5 * pow((lo - 0.5 + i * (hi - lo + 1) / 399 - l) / 0.15, 2))) AS d FROM gs JOIN gc USING ({key}), range(400) t(i) GROUP BY ALL),
+    pk AS (SELECT * FROM (SELECT *, lag(d) OVER w AS b, lead(d) OVER w AS a FROM de WINDOW w AS (PARTITION BY {key} ORDER BY i)) WHERE d > b AND d > a),
+    pr AS (SELECT p.{key}, p.i AS i, q.i AS j, p.x AS xi, q.x AS xj, least(p.d, q.d) AS low FROM pk p JOIN pk q ON q.{key} = p.{key} AND q.x - p.x >= ln(2.0)),
+    vl AS (SELECT pr.{key}, pr.i, pr.j, xi, xj, any_value(low) - min(de.d) AS depth, arg_min(de.x, (de.d, de.i)) AS xv FROM pr JOIN de ON de.{key} = pr.{key} AND de.i BETWEEN pr.i AND pr.j GROUP BY ALL),
+    be AS (SELECT {key}, arg_max([xi, xj, xv], (depth, -i, -j)) AS x FROM vl WHERE depth > 0 GROUP BY {key}),
+    hi AS (SELECT {key}, b, coalesce(sum(c), 0) AS c, any_value(lo) + (b + 0.5) * (any_value(hi) - any_value(lo)) / 256 AS m FROM (SELECT {key}, lo, hi, b FROM gs, range(256) t(b)) LEFT JOIN (SELECT {key}, least(255, floor((l - lo) * 256 / (hi - lo)))::BIGINT AS b, c FROM gc JOIN gs USING ({key})) USING ({key}, b) GROUP BY {key}, b),
+    cu AS (SELECT *, sum(c) OVER w AS below, sum(c) OVER (PARTITION BY {key}) - sum(c) OVER w AS above, sum(c * m) OVER w AS sb, sum(c * m) OVER (PARTITION BY {key}) AS st FROM hi WINDOW w AS (PARTITION BY {key} ORDER BY b)),
+    cv AS (SELECT {key}, b, m, below * above * pow(sb / greatest(below, 1) - (st - sb) / greatest(above, 1), 2) AS v FROM cu WHERE b < 255), ot AS (SELECT {key}, arg_min(m, b) AS m FROM (SELECT *, max(v) OVER (PARTITION BY {key}) AS most FROM cv) WHERE v >= most * (1 - 1e-9) GROUP BY {key}),
+    sh AS (SELECT {key}, sum(c) AS over FROM gc JOIN be USING ({key}) WHERE gap > exp(x[3]) GROUP BY {key}),
+    th AS (SELECT k.{key}, coalesce(n, 0) AS n_gaps, coalesce(n, 0) < 8 AS few, exp(m) AS cut, exp(x[1]) AS sm, exp(x[2]) AS lm, exp(x[3]) AS valley, x IS NOT NULL AS found, coalesce(over, 0) < 0.25 * n AS short
+      FROM (SELECT DISTINCT {key} FROM ev) k LEFT JOIN gs USING ({key}) LEFT JOIN ot USING ({key}) LEFT JOIN be USING ({key}) LEFT JOIN sh USING ({key})),
+    thresholds AS (SELECT {key}, n_gaps::INT AS n_gaps, CASE WHEN few THEN 30.0 WHEN NOT found OR short THEN cut ELSE valley END AS threshold, CASE WHEN few THEN 'few gaps' WHEN NOT found THEN 'otsu' WHEN short THEN 'otsu (few gaps above the valley)' ELSE 'valley' END AS method,
+      CASE WHEN NOT few AND found AND NOT short THEN sm END AS small_mode, CASE WHEN NOT few AND found AND NOT short THEN lm END AS large_mode, CASE WHEN NOT few THEN cut END AS otsu FROM th)"""
+
+
+@query("gap_valley", f"WITH {_thresholds('event_type')} SELECT event_type, n_gaps, round(threshold, 6) AS threshold, method, round(small_mode, 6) AS small_mode, round(large_mode, 6) AS large_mode, round(otsu, 6) AS otsu FROM thresholds")
 def gap_valley(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold of each event type's gaps in minutes, from their density."""
-    return G.thresholds(_gaps(spark, sf_dir), ["event_type"], "gap", "height")
+    found = G.thresholds(_gaps(spark, sf_dir), ["event_type"], "gap", "height")
+    return found.withColumns({c: F.round(c, 6) for c in ("threshold", "small_mode", "large_mode", "otsu")})
 
 
-@query("gap_valley_sessions")
+@query(
+    "gap_valley_sessions",
+    f"""WITH {_thresholds('user_id')}, q AS (SELECT ev.user_id, method, us, event_id, us - lag(us) OVER (PARTITION BY ev.user_id ORDER BY us, event_id) > threshold * 60000000 AS far FROM ev JOIN thresholds t ON t.user_id = ev.user_id)
+    SELECT user_id, method, count_if(far) + 1 AS n_sessions, count(*) AS n FROM q GROUP BY user_id, method""",
+)
 def gap_valley_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user by the threshold of the user's own gaps."""
     found = G.thresholds(_gaps(spark, sf_dir), ["user_id"], "gap", "height").select("user_id", (F.col("threshold") * MINUTE).alias("limit"), "method")
