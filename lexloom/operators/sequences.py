@@ -205,6 +205,23 @@ def text_lines(words: DataFrame, keys: list[str], x: str, y: str, tolerance: flo
     return folded(words, keys, [y, x], [y], "line_no", "int", begin)
 
 
+def text_line_numbers(lines: DataFrame, keys: list[str], order: list, is_text: Column, name: str = "number") -> DataFrame:
+    """lines with the 1-based number of each text line in its order; other lines have none."""
+    w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn(name, F.when(is_text, F.count_if(is_text).over(w)))
+
+
+def words_in_lines(segments: DataFrame, crops: DataFrame, readings: DataFrame, page: list[str]) -> DataFrame:
+    """Words of text lines that have an image and a reading, by their left edge, with the gap to the farthest right edge before.
+
+    segments: (page, line, index, line_kind, word_kind, x0, x1); crops, readings: (page, line, index, ...).
+    """
+    on = [*page, "line", "index"]
+    found = segments.where("line_kind = 'text' AND word_kind = 'word'").join(crops, on).join(readings, on)
+    w = _window([*page, "line"], ["x0", "index"])
+    return found.withColumn("place", F.row_number().over(w)).withColumn("gap", F.col("x0") - F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+
 def dehyphenated(text: Column) -> Column:
     """A word broken at the end of a line put together."""
     return F.regexp_replace(text, r"(?<=\w)-\s*\n\s*(?=[a-z])", "")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import present, split_of
 from ..functions.tokens import in_alphabet, spell
+from .ordering import uniform
 from .similarity import union_in_order
 
 
@@ -58,3 +59,23 @@ def sides(rows: DataFrame, word: str, copy_of: str, seed: str = "v0", test_share
     """rows with split; a copy of another row is never a test row, so it is left out where its word is one."""
     split = split_of(F.col(word), test_share, seed)
     return rows.withColumn("split", split).where((F.col("split") != "test") | F.col(copy_of).isNull())
+
+
+# What random words are made of.
+CONSONANTS = ["P", "B", "T", "D", "K", "G", "L", "R", "M", "N", "SH", "S", "CH", "TS", "TH", "KH", "HL", "LH", "H", "F", "V", "NG"]
+VOWEL_TOKENS = ["A", "O", "OO", "E", "U", "OW", "WA", "WE", "WO"]
+MOST_SYLLABLES, ONSET, CODA = 4, 0.8, 0.35
+
+
+def random_tokens(key: Column, seed: int | str) -> Column:
+    """Tokens of one to four random syllables, a consonant before the vowel in 0.8 of them and one after it in 0.35; the same for the same key."""
+    number = lambda *parts: uniform(F.concat_ws("/", key.cast("string"), *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts)), seed)
+    one = lambda options, u: F.element_at(F.array(*map(F.lit, options)), (F.floor(u * len(options)) + 1).cast("int"))
+    none = F.array().cast("array<string>")
+
+    def syllable(i: Column) -> Column:
+        before = F.when(number(i, "a") < ONSET, F.array(one(CONSONANTS, number(i, "b")))).otherwise(none)
+        after = F.when(number(i, "d") < CODA, F.array(one(CONSONANTS, number(i, "e")))).otherwise(none)
+        return F.concat(before, F.array(one(VOWEL_TOKENS, number(i, "c"))), after)
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), (F.floor(number("n") * MOST_SYLLABLES) + 1).cast("int")), syllable))

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as Q
 from ..operators import evaluation as E
+from ..operators import layout
 from ..operators import lexicon as L
 from ..operators import ordering as O
+from ..operators import sequences as S
 from ..operators import validation as V
 from ..operators import wordlist as W
 from .lexicon import _CLUSTERS, _SKELETONS
 from .registry import query
 from .scoring import _READINGS, _STEP, readings
+from .sequences import _uniform
 from .tables import ENTRIES, LIST_WORDS, entries, list_words, table
 
 
@@ -173,3 +176,75 @@ def sign_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("a"), F.concat(F.lit("VERIFIED "), "p_name"), F.lit("b"), F.when(n % 3 == 0, "COMPUTED").otherwise(F.col("p_name"))).alias("labels"),
     )
     return V.sign_errors(signs, _KEYS, required=["id", "category", "unicode", "confusables", "sources", "confidence"])
+
+
+def _chosen(options: list[str], u: str) -> str:
+    return f"({options})[floor({u} * {len(options)})::INT + 1]"
+
+
+def _number(*parts: str) -> str:
+    return _uniform(" || '/' || ".join(("p_partkey::VARCHAR", *parts)), "w")
+
+
+@query(
+    "random_words",
+    f"SELECT p_partkey, array_to_string(flatten(list_transform(range(1, floor({_number(chr(39) + 'n' + chr(39))} * {W.MOST_SYLLABLES})::INT + 2), lambda i: (CASE WHEN {_number('i::VARCHAR', chr(39) + 'a' + chr(39))} < {W.ONSET} THEN [{_chosen(W.CONSONANTS, _number('i::VARCHAR', chr(39) + 'b' + chr(39)))}] ELSE [] END) || [{_chosen(W.VOWEL_TOKENS, _number('i::VARCHAR', chr(39) + 'c' + chr(39)))}] || (CASE WHEN {_number('i::VARCHAR', chr(39) + 'd' + chr(39))} < {W.CODA} THEN [{_chosen(W.CONSONANTS, _number('i::VARCHAR', chr(39) + 'e' + chr(39)))}] ELSE [] END))), ' ') AS tokens FROM part",
+)
+def random_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random words for parts."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(W.random_tokens(F.col("p_partkey"), "w"), " ").alias("tokens"))
+
+
+@query("line_numbers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN count_if(l_returnflag <> 'N') OVER (PARTITION BY l_orderkey ORDER BY l_linestatus, l_linenumber ROWS UNBOUNDED PRECEDING) END AS number FROM lineitem")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order numbered by status and number, but for those that aren't returned."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag")
+    return S.text_line_numbers(rows, ["l_orderkey"], ["l_linestatus", "l_linenumber"], F.col("l_returnflag") != "N").select("l_orderkey", "l_linenumber", "number")
+
+
+@query(
+    "words_in_lines",
+    """WITH l AS (SELECT l_orderkey AS page, l_linenumber % 2 AS line, l_linenumber AS index, min(l_returnflag) AS f, min(l_linestatus) AS s, min(l_suppkey) AS x0, max(l_suppkey + l_quantity) AS x1, max(l_discount) AS score, max(l_tax) AS tax FROM lineitem GROUP BY ALL)
+    SELECT page, line, index, score, row_number() OVER w AS place, x0 - max(x1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM l WHERE f <> 'A' AND s = 'O' AND tax > 0.01 AND score > 0.02 WINDOW w AS (PARTITION BY page, line ORDER BY x0, index)""",
+)
+def words_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as words of two lines of a page; some have no image or no reading."""
+    keys = [F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 2).alias("line"), F.col("l_linenumber").alias("index")]
+    x1 = F.max(F.col("l_suppkey") + F.col("l_quantity")).alias("x1")
+    rows = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_suppkey").alias("x0"), x1, F.max("l_discount").alias("score"), F.max("l_tax").alias("tax"))
+    kinds = [F.when(F.col("f") != "A", "text").otherwise("separator").alias("line_kind"), F.when(F.col("s") == "O", "word").otherwise("punct").alias("word_kind")]
+    crops, read = rows.where("tax > 0.01").select("page", "line", "index"), rows.where("score > 0.02").select("page", "line", "index", "score")
+    return S.words_in_lines(rows.select("page", "line", "index", "x0", "x1", *kinds), crops, read, ["page"]).select("page", "line", "index", "score", "place", "gap")
+
+
+@query(
+    "row_bands",
+    """WITH e AS (SELECT l_orderkey AS page, l_suppkey AS x0, l_suppkey + l_quantity AS x1, l_extendedprice - 300 AS y0, l_extendedprice + 300 AS y1, l_extendedprice AS cy, l_quantity * 20 AS area FROM lineitem), p AS (SELECT * FROM e WHERE area >= 120),
+    g AS (SELECT *, CASE WHEN cy - lag(cy) OVER w >= 5000 THEN 1 ELSE 0 END AS new FROM p WINDOW w AS (PARTITION BY page ORDER BY cy, x0)), b AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY cy, x0 ROWS UNBOUNDED PRECEDING) AS band FROM g)
+    SELECT page, band, (min(y0) + max(y1)) / 2 AS mid, (max(y1) - min(y0)) / 2 AS half, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b GROUP BY page, band HAVING sum(area) >= 400 AND max(x1) - min(x0) >= 40""",
+)
+def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as pieces of a page, in rows by price."""
+    price, n = F.col("l_extendedprice"), F.col("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_suppkey").alias("x0"), (F.col("l_suppkey") + n).alias("x1"), (price - 300).alias("y0"), (price + 300).alias("y1"), price.alias("cy"), (n * 20).alias("area"))
+    return layout.row_bands(rows, ["page"], 5000.0)
+
+
+@query(
+    "shared_slopes",
+    """WITH s AS (SELECT l_suppkey % 7 AS page, l_suppkey AS line, count(*) AS n, max(l_partkey) - min(l_partkey) AS span, sum(l_quantity) AS w, sum(l_quantity * l_partkey) AS wx, sum(l_quantity * l_extendedprice) AS wy, sum(l_quantity * l_partkey * l_partkey) AS wxx, sum(l_quantity * l_partkey * l_extendedprice) AS wxy FROM lineitem GROUP BY ALL),
+    f AS (SELECT *, CASE WHEN n < 3 OR span < 1 OR w * wxx - wx * wx <= 0 THEN 0.0 ELSE greatest(least((w * wxy - wx * wy) / (w * wxx - wx * wx), 30), -30) END AS own FROM s), m AS (SELECT page, median(own) AS shared FROM f WHERE n >= 4 GROUP BY page)
+    SELECT page, line, round(coalesce(shared, own), 4) AS slope, round(wy / w - coalesce(shared, own) * wx / w, 2) AS level FROM f LEFT JOIN m USING (page)""",
+)
+def shared_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of price by part for each supplier, with the middle slope of their group."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("page"), F.col("l_suppkey").alias("line"), "l_partkey", "l_extendedprice", "l_quantity")
+    found = layout.shared_line_fit(rows, ["page"], "line", "l_partkey", "l_extendedprice", "l_quantity", 30.0)
+    return found.select("page", "line", F.round("slope", 4).alias("slope"), F.round("level", 2).alias("level"))
+
+
+@query("scaled_widths", f"WITH j AS (SELECT p_partkey, p_size, p_retailprice, exp((2 * {_uniform('p_partkey', 5)} - 1) * ln(1.3::DOUBLE)) AS f FROM part), s AS (SELECT p_partkey, f, round_even(p_retailprice / 5 * f, 0) AS w, round_even(p_size * 2 * f, 0) AS h FROM j) SELECT p_partkey, round(f, 9) AS factor, greatest(least(CASE WHEN h > 60 THEN round_even(w * 60 / greatest(h, 1), 0) ELSE w END, 640) + 8, 16) AS width FROM s")
+def scaled_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths of parts as images, scaled by a random factor."""
+    rows = table(spark, sf_dir, "part").withColumn("f", layout.scale_jitter(O.uniform(F.col("p_partkey"), 5), 0.3))
+    return rows.select("p_partkey", F.round("f", 9).alias("factor"), layout.rescaled_width(F.col("p_retailprice") / 5, F.col("p_size") * 2, F.col("f")).alias("width"))
