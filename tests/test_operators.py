@@ -32,6 +32,23 @@ def test_deletion_index_finds_all(spark):
     assert got == {(x, y) for x in left for y in right if distance(x, y) <= (0 if len(x) < 3 else 2)}
 
 
+def test_long_strings_meet_by_thirds(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("ab") for _ in range(n)) for n in (29, 30, 31, 32, 33, 34, 60, 150) for _ in range(2)]
+
+    def edited(word):
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(word))
+            word = rnd.choice([word[:i] + word[i + 1 :], word[:i] + "c" + word[i:], word[:i] + "c" + word[i + 1 :]])
+        return word
+
+    others = sorted({edited(w) for w in words for _ in range(3)})
+    a, b = spark.createDataFrame([(w,) for w in set(words)], "a string"), spark.createDataFrame([(w,) for w in others], "b string")
+    for most in (0, 1, 2):
+        got = {(r.a, r.b) for r in similarity.within_distance(a, b, "a", "b", most).collect()}
+        assert got == {(x, y) for x in set(words) for y in others if abs(len(x) - len(y)) <= most and distance(x, y) <= most}
+
+
 def test_pairs_are_those_of_brute_force(spark):
     rnd = random.Random(2)
     words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 5))) for _ in range(25)})
