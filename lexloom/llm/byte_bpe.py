@@ -6,7 +6,7 @@ order to every position of their pair at once, and only the two neighbours of a
 A word is encoded once however often it occurs; ids go back to the texts by their word numbers.
 
 There is no shuffle: every task replays the merges for its own part of the corpus, so a lost task is simply run
-again, and memory is bounded by PIECE_BYTES and MOST_WORDS whatever the size of the corpus.
+again, and memory is bounded by PIECE_BYTES and MOST_WORDS, or by the longest text, which is held whole with its words.
 
 Defined results: a null text is encoded as the empty text (no ids); repeated rows are encoded each; columns other
 than the id and the text are ignored; an empty table gives an empty table.

@@ -10,7 +10,8 @@ A document longer than a bin fills whole bins of its own first; what remains is
 
 Shards of about SHARD_DOCS documents are packed by themselves, dealt out by a hash of the row's number, so that hot
 sources and clusters are spread evenly and memory is bounded; only ids, lengths and hashes are shuffled. The numbered
-items are checkpointed, so that a lost task packs the same shard again.
+items are checkpointed, so that a lost task packs the same shard again. Row numbers follow the files, so the same rows in
+other files fall into other shards and bins.
 
 Defined results: a null source or cluster conflicts with nothing; a document without length (null or empty text) is in
 no bin (bin_id null, piece 0); repeated rows are placed each, and never in one bin if they share source or cluster;
