@@ -33,8 +33,8 @@ from .components import components
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: Bucket sizes up to which members are compared by shifts, breadth first, and by sorting in one task.
 FEW, SOME, MOST_MEMBERS = 8, 1_024, 1_000_000
-#: A fingerprint of at most so many rows isn't hot.
-HOT_ROWS = 1_000
+#: A fingerprint of at most so many rows isn't hot; into how many tasks a family of fingerprints is dealt.
+HOT_ROWS, SALTS = 1_000, 16
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -249,7 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = linked.unionAll(linked.select("root", "root").distinct())
     member = nodes.join(classes.select(F.col("fp").alias("node"), "first"), "node")
     lowest = member.groupBy("root").agg(F.min("first").alias("lowest"))
-    reached = member.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
+    # a family's members meet its name in SALTS tasks
+    salted = member.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    reached = salted.join(lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["root", "salt"]).select(F.col("node").alias("fp"), "lowest")
     names = classes.join(reached, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
     # fingerprints of over a thousandth of all rows are at most a thousand; they are sent to every task, so that no
     # task gets all rows of one of them
