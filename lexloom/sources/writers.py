@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell, note_text
@@ -37,6 +37,19 @@ def lexicon(rows: DataFrame, path: str, sources: list[str], **options) -> None:
     tsv(flat, path, ["headword", "__place"], LEXICON_COLUMNS, **options)
 
 
+def merged(rows: DataFrame, path: str, columns: list[str], **options) -> None:
+    """Merged rows by headword, with their phonetic keys and up to ten other headwords that share them. rows: see operators/dictionaries.merged."""
+    from ..functions.text import skeleton
+    from ..operators.lexicon import MOST_SIBLINGS, in_clusters
+
+    known = in_clusters(rows.where("n_sources > 0").select("headword"))
+    place = F.row_number().over(Window.partitionBy("skeleton").orderBy("headword"))
+    firsts = known.withColumn("__n", place).where(F.col("__n") <= MOST_SIBLINGS + 1).groupBy("skeleton").agg(F.array_sort(F.collect_list("headword")).alias("__members"))
+    keyed = rows.withColumn("skeleton", skeleton(F.col("headword"))).join(firsts, "skeleton", "left")
+    siblings = F.slice(F.array_remove(F.coalesce("__members", F.array().cast("array<string>")), F.col("headword")), 1, MOST_SIBLINGS)
+    tsv(keyed.withColumns({"skeleton_siblings": F.array_join(siblings, "|"), "kamloops": F.when(F.col("flagged"), "yes").otherwise("no")}), path, ["headword"], columns, **options)
+
+
 def json_pages(rows: DataFrame, path: str, parts: list[str], mode: str = "overwrite") -> None:
     """Nested rows as JSON, in a folder for each value of the parts (book, leaf)."""
     rows.write.mode(mode).partitionBy(*parts).json(path)
