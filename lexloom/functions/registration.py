@@ -4,22 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluation import ALIGNED, _aligned
 
 
-def _variants(text: pd.Series, deletions: pd.Series) -> pd.Series:
-    def of(x: str, k: int) -> list[str]:
-        found, last = {x: None}, [x]
-        for _ in range(k):
-            last = list(dict.fromkeys(s[:i] + s[i + 1 :] for s in last for i in range(len(s))))
-            found |= dict.fromkeys(last)
-        return list(found)
-
-    return pd.Series([None if x is None else of(x, int(k)) for x, k in zip(text, deletions, strict=True)])
+#: deletion_variants as SQL: the text, then all strings with one and with two characters deleted, each once.
+_SHORTER = "transform(sequence(1, greatest(length({0}), 1)), {1} -> concat(left({0}, {1} - 1), substring({0}, {1} + 1)))"
+_ONCE = f"IF(k >= 1 AND length(t) > 0, {_SHORTER.format('t', 'i')}, array())"
+_TWICE = f"IF(k >= 2 AND length(t) > 1, flatten(transform({_SHORTER.format('t', 'i')}, s -> {_SHORTER.format('s', 'j')})), array())"
 
 
 class Cuts:
@@ -31,7 +25,7 @@ class Cuts:
 
 
 def register(spark: SparkSession) -> None:
-    """align_tokens(ref, hyp), deletion_variants(text, k) and cuts(reading) in SQL. Column functions do the same for DataFrames, without Python for variants."""
+    """align_tokens(ref, hyp), deletion_variants(text, k) and cuts(reading) in SQL."""
     spark.udf.register("align_tokens", F.pandas_udf(_aligned, ALIGNED))
-    spark.udf.register("deletion_variants", F.pandas_udf(_variants, "array<string>"))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION deletion_variants(t STRING, k INT) RETURNS ARRAY<STRING> RETURN array_distinct(concat(array(t), {_ONCE}, {_TWICE}))")
     spark.udtf.register("cuts", F.udtf(Cuts, returnType="cut int, a string, b string"))

@@ -134,6 +134,9 @@ def test_sql_functions(spark):
     from lexloom.functions import registration
 
     registration.register(spark)
+    for text, k, expected in (("abc", 2, {"abc", "ab", "ac", "bc", "a", "b", "c"}), ("aa", 1, {"aa", "a"}), ("a", 2, {"a", ""}), ("", 2, {""}), ("abc", 0, {"abc"})):
+        got = spark.sql(f"SELECT deletion_variants('{text}', {k}) AS v").first().v
+        assert got[0] == text and len(got) == len(set(got)) and set(got) == expected
     row = spark.sql("SELECT align_tokens(array('a', 'b'), array('a')) AS x, deletion_variants('ab', 1) AS v").first()
     assert [tuple(s) for s in row.x] == [("a", "a"), ("b", None)] and sorted(row.v) == ["a", "ab", "b"]
     assert [tuple(r) for r in spark.sql("SELECT * FROM cuts('abc')").collect()] == [(1, "a", "bc"), (2, "ab", "c")]
