@@ -20,7 +20,7 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.max("e.root").alias("root")).where("up > 1 OR (up = 1 AND root = 1)").isEmpty()
 
 
-def components(links: DataFrame, a: str, b: str, files: int = 4) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, files: int = 16) -> DataFrame:
     """(node, root): the least node of the component, for each node of the links. Each node has an edge to its root when no step changes anything.
 
     Both steps are a partial aggregation and an equality join, so that the many edges of one node are split by the

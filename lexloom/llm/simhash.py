@@ -191,7 +191,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, some: int = SOME, bits: int
     return np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
 
 
-def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS, files: int = 4, bits: int = MOST_BITS) -> DataFrame:
+def near_links(fps: DataFrame, some: int = SOME, most: int = MOST_MEMBERS, files: int = 16, bits: int = MOST_BITS) -> DataFrame:
     """(a, b): links whose components are those of all pairs of the distinct fingerprints `fp` at most `bits` apart."""
     indexed = fps.select("fp", F.explode(variants("fp", bits)).alias("key")).repartition("key").sortWithinPartitions("key")
 
@@ -244,14 +244,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = checkpointed(simhash(docs, id_col, text_col, words))
     classes = own.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
     total = own.count()
-    files = 4 + total // 500_000
+    files = 16 + total // 200_000
     linked = components(near_links(classes, some, most, files, bits), "a", "b", files)
     nodes = linked.unionAll(linked.select("root", "root").distinct())
-    member = nodes.join(classes.select(F.col("fp").alias("node"), "first"), "node")
+    member = nodes.join(classes.select(F.col("fp").alias("node"), "first").hint("merge"), "node")
     lowest = member.groupBy("root").agg(F.min("first").alias("lowest"))
-    # a family's members meet its name in SALTS tasks
+    # a family's members meet its name in SALTS tasks; a broadcast of the members would bring them together where the name is
     salted = member.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    reached = salted.join(lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["root", "salt"]).select(F.col("node").alias("fp"), "lowest")
+    reached = salted.join(lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["root", "salt"]).select(F.col("node").alias("fp"), "lowest")
     names = classes.join(reached, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
     # fingerprints of over a thousandth of all rows are at most a thousand; they are sent to every task, so that no
     # task gets all rows of one of them
