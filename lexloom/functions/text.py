@@ -48,6 +48,26 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
+def _compatible_letters() -> dict[str, str]:
+    """Characters beyond the Latin blocks that stand for Latin letters: ligatures, full-width and raised letters, and so on."""
+    out = {}
+    for code in range(0x250, 0x10000):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if plain != chr(code) and plain.isascii() and plain.isalpha():
+            out[chr(code)] = plain
+    return out
+
+
+_COMPATIBLE = _compatible_letters()
+
+
+def with_plain_letters(text: Column) -> Column:
+    """Characters that stand for Latin letters as those letters; texts without any are left as they are."""
+    names = F.create_map(*(F.lit(x) for pair in _COMPATIBLE.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(names, c), c)), "")
+    return F.when(text.rlike("[\u0250-\uffff]"), spelled).otherwise(text)
+
+
 def without_accents(text: Column) -> Column:
     """Letters with marks as their base letters; combining marks dropped."""
     return F.translate(text, _ACCENTED, _PLAIN)
@@ -60,7 +80,7 @@ def latin(word: Column) -> Column:
 
 def headword_key(text: Column) -> Column:
     """The key under which spellings meet: a-z and single spaces only."""
-    key = F.lower(without_accents(text))
+    key = F.lower(without_accents(with_plain_letters(text)))
     for letter, plain in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
         key = F.replace(key, F.lit(letter), F.lit(plain))
     key = F.translate(key, APOSTROPHES + "-.", "")

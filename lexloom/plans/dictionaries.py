@@ -14,7 +14,11 @@ from .tables import ENTRIES, entries
 _PLAIN = f"array_to_string(list_filter(list_transform(string_split(gloss, ' '), lambda w: {Q.word_key('w')}), lambda w: w <> ''), ' ')"
 
 
-@query("dictionary_lines", f"WITH {ENTRIES} SELECT source, upper(left(headword, 1)) || substr(headword, 2) AS head, 2 AS n_spellings, 'n,v' AS pos, trim('Word ' || {_PLAIN}) AS gloss, '1' AS page, count(*) AS n FROM entries WHERE regexp_full_match(headword, '[a-z]{{2,}}') GROUP BY ALL")
+@query(
+    "dictionary_lines",
+    f"""WITH {ENTRIES}, w AS (SELECT source, headword, trim('Word ' || {_PLAIN}) AS g FROM entries WHERE regexp_full_match(headword, '[a-z]{{2,}}')), c AS (SELECT *, CASE WHEN length(g) > 240 THEN regexp_extract(left(g, 240), '^(.*) [^ ]*$', 1) || ' ...' ELSE g END AS gloss FROM w)
+    SELECT source, upper(left(headword, 1)) || substr(headword, 2) AS head, 2 AS n_spellings, 'n,v' AS pos, gloss, '1' AS page, count(*) AS n FROM c GROUP BY ALL""",
+)
 def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries printed on two lines each, as in the book of 1863, one volume for each source, and parsed again."""
     rows = entries(spark, sf_dir).where(F.col("headword").rlike("^[a-z]{2,}$"))

@@ -118,13 +118,15 @@ def ranked_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(role, ref, hyp): first words of consecutive turns as a reference and its reading."""
-    first = word_key(F.split("text", r"[ \t\r\n]+")[0])
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("role", first.alias("ref"), F.lead(first).over(w).alias("hyp")).where("hyp IS NOT NULL")
+    """(role, ref, hyp): the words at each place of consecutive turns as a reference and its reading."""
+    keys = F.transform(F.split("text", r"[ \t\r\n]+"), word_key)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", keys.alias("ref"))
+    pairs = turns.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).where("hyp IS NOT NULL")
+    return pairs.select("role", F.inline(F.arrays_zip("ref", "hyp"))).where("ref IS NOT NULL AND hyp IS NOT NULL")
 
 
-_READINGS = """rd AS (SELECT * FROM (SELECT role, k AS ref, lead(k) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM (SELECT *, regexp_replace(strip_accents(lower(string_split_regex(text, '[ \\t\\r\\n]+')[1])), '[^a-z]', '', 'g') AS k FROM conversations)) WHERE hyp IS NOT NULL)"""
+_READINGS = """kt AS (SELECT conv_id, turn, role, list_transform(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: regexp_replace(strip_accents(lower(w)), '[^a-z]', '', 'g')) AS ks FROM conversations),
+    ld AS (SELECT role, ks, lead(ks) OVER (PARTITION BY conv_id ORDER BY turn) AS hs FROM kt), rd AS (SELECT * FROM (SELECT role, unnest(ks) AS ref, unnest(hs) AS hyp FROM ld WHERE hs IS NOT NULL) WHERE ref IS NOT NULL AND hyp IS NOT NULL)"""
 
 
 @query("ter_by_source", f"WITH {_READINGS}, e AS (SELECT role, levenshtein(ref, hyp) AS d, length(ref) AS n FROM rd) SELECT role, count(*) AS n, sum(d) AS edits, sum(n) AS tokens, round(sum(d) / greatest(sum(n), 1), 4) AS ter, round(count_if(d = 0) / greatest(count(*), 1), 4) AS exact FROM e GROUP BY GROUPING SETS ((), (role))")

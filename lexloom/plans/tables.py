@@ -25,7 +25,7 @@ DOC_WORDS = f"""doc_words AS (
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as dictionary entries: the first word is the head, the next six are its gloss.
+    """Lines of documents as dictionary entries: the first word is the head, the rest is its gloss.
 
     (doc_id, source, source_no, line_no, ord, head, headword, gloss, conf, flagged); ord: order of sources, then of lines,
     as one number; a source, document or line number that has no room in it stops the run.
@@ -35,7 +35,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.filter(F.split("line", r"[ \t\r]+"), lambda w: w != "")
     rows = lines.select("doc_id", "source", "line_no", words.alias("words")).where(F.size("words") >= 2)
-    rows = rows.select("doc_id", "source", "line_no", F.col("words")[0].alias("head"), F.array_join(F.slice("words", 2, 6), " ").alias("gloss"))
+    rows = rows.select("doc_id", "source", "line_no", F.col("words")[0].alias("head"), F.array_join(F.slice("words", F.lit(2), F.size("words")), " ").alias("gloss"))
     rows = rows.withColumn("headword", X.headword_key(F.col("head"))).where("headword <> ''").join(labels, "doc_id", "left")
     number = F.substring("source", 4, 10).cast("int")
     room = number.between(0, 31) & F.col("doc_id").between(0, 2**37 - 1) & (F.col("line_no") < 2**20)
@@ -49,7 +49,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = f"""entries AS (
   SELECT e.doc_id, source, source_no, line_no, source_no * 144115188075855872 + e.doc_id * 1048576 + line_no AS ord, head, headword, gloss,
     CASE quality WHEN 1 THEN 'A' WHEN 0 THEN 'C' ELSE 'B' END AS conf, source_no % 4 = 0 AS flagged
-  FROM (SELECT doc_id, source, substr(source, 4)::INT AS source_no, line_no - 1 AS line_no, words[1] AS head, array_to_string(words[2:7], ' ') AS gloss, {Q.headword_key("words[1]")} AS headword
+  FROM (SELECT doc_id, source, substr(source, 4)::INT AS source_no, line_no - 1 AS line_no, words[1] AS head, array_to_string(words[2:], ' ') AS gloss, {Q.headword_key("words[1]")} AS headword
     FROM (SELECT doc_id, source, line_no, list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda w: w <> '') AS words
       FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents))
     WHERE len(words) >= 2) e LEFT JOIN labels l ON e.doc_id = l.doc_id WHERE headword <> '')"""

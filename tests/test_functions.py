@@ -38,6 +38,13 @@ def test_signs_round_trip(spark):
     assert values(spark, ["qa"], K.to_signs(K.spell(F.col("w")))) == [("�" + chr(0x1BC41),)]
 
 
+def test_keys_of_letters_in_other_forms(spark):
+    from lexloom.functions.text import headword_key
+
+    words = {"ﬁsh": "fish", "Ｆｕｌｌ ｗｉｄｔｈ": "full width", "oﬀer ﬃ": "offer ffi", "naïve Straße œuvre": "naive strasse oeuvre", "ⅷ": "viii", "K’amʼuks": "kamuks", "日本 boat": "boat", "": "", "ạ̈b": "ab"}
+    assert [r[0] for r in values(spark, list(words), headword_key(F.col("w")))] == list(words.values())
+
+
 def test_sources_and_rewrites(spark):
     ((rows,),) = values(spark, ["piah"], K.token_sources(F.col("w")))
     assert [tuple(r) for r in rows] == [("P", "p", "^", "i"), ("E", "i", "p", "a"), ("A", "a", "i", "h"), ("H", "h", "a", "$")]
