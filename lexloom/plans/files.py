@@ -58,7 +58,8 @@ def text_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_crop_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as 8 by 8 images, packed into a page for each label and hundred, and unpacked."""
     rows = table(spark, sf_dir, "embeddings")
-    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(((x + 1) * 127).cast("int"), F.lit(0)), F.lit(255))), 2, "0"))
+    single = lambda n: F.lit(n).cast("float")  # noqa: E731  # with integers Spark reckons in double precision, which rounds otherwise at the borders of pixel values
+    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest((x + single(1)) * single(127), single(0)), single(255)).cast("int")), 2, "0"))
     crops = rows.select("label", F.floor(F.col("vec_id") / 100).alias("part"), F.lit(1).alias("line"), F.col("vec_id").cast("int").alias("idx"), F.array(*(F.lit(x) for x in (0, 0, 8, 8))).alias("box"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(pixel, "")).alias("pixels"))
     unpacked = W.unpack_pages(W.packed_pages(crops, ["label", "part"]), ["label", "part"])
     values = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("bigint") * i)

@@ -151,3 +151,18 @@ def test_word_list_build(spark):
     assert out == {("a", "A", "", "lexicon"), ("s.t", "A", "S T", "x")}
     with pytest.raises(ValueError, match="y"):
         wordlist.build(entries, rows, ["x", "y"], "chn")
+
+
+@pytest.mark.parametrize("values", [[-0.34645670652389526, 0.29921257495880127, 0.3858267664909363, 0.0], [-2.0, 3.0, float("nan"), float("inf"), float("-inf"), 0.0, 0.5, -0.5]])
+def test_pixels_are_reckoned_in_single_precision_as_in_sql(spark, tmp_path, values):
+    import duckdb
+
+    from lexloom.plans import ORACLE_SQL, QUERIES
+
+    # in double precision -0.346..., 0.299... and 0.385... are a pixel value less
+    rows = [(1, values * (64 // len(values)), 0), (2, [0.0] * 63 + values[:1], 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["packed_crop_round_trip"](spark, str(tmp_path)).orderBy("label").collect()]
+    assert got == sorted(con.sql(ORACLE_SQL["packed_crop_round_trip"]).fetchall())
